@@ -1,6 +1,284 @@
-def queries():
-    return {}
+"""The registered queries of the engine and, where SQL can express them, their oracles."""
 
+from __future__ import annotations
 
-def oracle_sql():
-    return {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import text, urls
+from ..operators import extract, formats, netlog, nodes
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_ORACLES: dict[str, str] = {}
+
+#: The four entities of the pages' texts, and one cut short, in SQL.
+_TEXT = "regexp_replace(replace(replace(replace({0}, '&copy;', '©'), '&middot;', '·'), '&quot;', '\"'), '&amp;?', '&', 'g')"
+#: Each page's links in order, in SQL.
+_LINKS = "SELECT page_id, url, UNNEST(regexp_extract_all(html, '<a href=\"([^\"]*)\">', 1)) AS href, UNNEST(regexp_extract_all(html, '<a href=\"[^\"]*\">([^<]*)</a>', 1)) AS t, UNNEST(range(len(regexp_extract_all(html, '<a href=\"([^\"]*)\">')))) AS i FROM pages"
+
+
+def query(oracle: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if oracle:
+            _ORACLES[f.__name__] = oracle
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages")
+
+
+def dom(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nodes.nodes(pages(spark, sf_dir))
+
+
+@query(f"SELECT page_id, i::INT AS pos, {_TEXT.format('t')} AS text, href FROM ({_LINKS})")
+def links(spark, sf_dir):
+    return extract.links(pages(spark, sf_dir))
+
+
+@query(f"SELECT page_id, {_TEXT.format(chr(34) + 'x' + chr(34))} AS title FROM (SELECT page_id, trim(regexp_replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '\\s+', ' ', 'g')) AS x FROM pages)")
+def title(spark, sf_dir):
+    return extract.meta(pages(spark, sf_dir)).select("page_id", "title")
+
+
+@query(f"SELECT page_id, {_TEXT.format('x')} AS h1 FROM (SELECT page_id, trim(regexp_replace(regexp_extract(html, '<h1>([^<]*)</h1>', 1), '\\s+', ' ', 'g')) AS x FROM pages)")
+def h1(spark, sf_dir):
+    return extract.extract(pages(spark, sf_dir), {"h1": "h1"})
+
+
+@query("SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS host, regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS path, regexp_extract(url, '\\?([^#]*)', 1) AS query FROM pages")
+def url_parts(spark, sf_dir):
+    p = urls.parts(F.col("url"))
+    return pages(spark, sf_dir).select("page_id", *[p[k].alias(k) for k in ("host", "path", "query")])
+
+
+@query("""SELECT kind, count(*) AS n FROM (SELECT CASE WHEN lower(url) ~ '(/api/|/apis/|/graphql|/gql|/rest/|/rpc/|/trpc/|/bff/|/gateway/|/services?/|/backend/|/ajax/|/xhr/|/endpoints?/|/v[1-5]/|/wp-json/|/_next/data/|/__data|/\\.netlify/functions/|/_api/|/xapi/|/odata/|\\.json|\\.geojson)' THEN 'api'
+ WHEN regexp_extract(p, '([^/]*)$', 1) IN ('query','search','data','feed','export','load','fetch') THEN 'api'
+ WHEN p LIKE '%.html' OR p LIKE '%.htm' OR p LIKE '%/' OR NOT contains(regexp_extract(p, '([^/]*)$', 1), '.') THEN 'page' ELSE 'other' END AS kind
+ FROM (SELECT url, lower(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1)) AS p FROM pages)) GROUP BY kind""")
+def url_kind(spark, sf_dir):
+    return pages(spark, sf_dir).groupBy(urls.classify_url(F.col("url")).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"SELECT page_id, i::INT AS pos, CASE WHEN href LIKE '/%' THEN regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) || href ELSE href END AS url FROM ({_LINKS})")
+def abs_links(spark, sf_dir):
+    p = pages(spark, sf_dir)
+    found = extract.links(p).join(p.select("page_id", F.col("url").alias("base")), "page_id")
+    return found.select("page_id", "pos", urls.absolutize(F.col("href"), F.col("base")).alias("url"))
+
+
+@query(f"SELECT h AS host, count(*) AS n_links, count(DISTINCT href) AS n_targets FROM (SELECT *, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS h FROM ({_LINKS})) GROUP BY h")
+def link_hosts(spark, sf_dir):
+    p = pages(spark, sf_dir)
+    found = extract.links(p).join(p.select("page_id", urls.parts(F.col("url"))["host"].alias("host")), "page_id")
+    return found.groupBy("host").agg(F.count(F.lit(1)).alias("n_links"), F.countDistinct("href").alias("n_targets"))
+
+
+@query("""SELECT tag, count(*) AS n FROM (SELECT UNNEST(regexp_extract_all(regexp_replace(html, '<script>.*?</script>', '<script>', 'gs'), '<([a-z][a-z0-9]*)', 1)) AS tag FROM pages) GROUP BY tag""")
+def tag_histogram(spark, sf_dir):
+    return dom(spark, sf_dir).where("kind = 'element'").groupBy("tag").agg(F.count(F.lit(1)).alias("n"))
+
+
+def selected(name: str, selector: str, oracle: str) -> None:
+    """Register the number of elements that a selector selects on each page that has one."""
+
+    def run(spark, sf_dir):
+        return nodes.select(dom(spark, sf_dir), selector).groupBy(F.col("doc_id").alias("page_id")).agg(F.count(F.lit(1)).alias("n"))
+
+    run.__name__ = name
+    query(f"SELECT page_id, n FROM ({oracle}) WHERE n > 0")(run)
+
+
+_A = "regexp_extract_all(html, '<a href=\"([^\"]*)\">', 1)"
+_N = f"SELECT page_id, len({_A})::BIGINT AS n FROM pages"
+_LI = "len(regexp_extract_all(html, '<li>'))"
+_WHERE = "SELECT page_id, len(list_filter(" + _A + ", lambda x: {0}))::BIGINT AS n FROM pages"
+selected("sel_child", "nav > ul > li > a", _N)
+selected("sel_desc", "nav a", _N)
+selected("sel_attr_present", "[href]", _N)
+selected("sel_nth", "li:nth-child(2n+1)", f"SELECT page_id, (({_LI} + 1) // 2)::BIGINT AS n FROM pages")
+selected("sel_first", "li:first-child", f"SELECT page_id, CASE WHEN {_LI} > 0 THEN 1 ELSE 0 END::BIGINT AS n FROM pages")
+selected("sel_last", "li:last-child, li:first-child", f"SELECT page_id, least(2, {_LI})::BIGINT AS n FROM pages")
+selected("sel_not", "li:not(:first-child)", f"SELECT page_id, greatest(0, {_LI} - 1)::BIGINT AS n FROM pages")
+selected("sel_nth_last_type", "li:nth-last-of-type(2)", f"SELECT page_id, CASE WHEN {_LI} > 1 THEN 1 ELSE 0 END::BIGINT AS n FROM pages")
+selected("sel_has", "li:has(a)", _N)
+selected("sel_has_child", "article:has(> h1)", "SELECT page_id, (html LIKE '%<article><h1>%')::BIGINT AS n FROM pages")
+selected("sel_is", ":is(h1, footer)", "SELECT page_id, len(regexp_extract_all(html, '<(h1|footer)>'))::BIGINT AS n FROM pages")
+selected("sel_adjacent", "h1 + p", "SELECT page_id, (regexp_matches(html, '</h1>\\s*<p>'))::BIGINT AS n FROM pages")
+selected("sel_general", "nav ~ footer", "SELECT page_id, (html LIKE '%<nav>%<footer>%')::BIGINT AS n FROM pages")
+selected("sel_sibling_class", "div.ad + article", "SELECT page_id, (regexp_matches(html, '<div class=\"ad\">[^<]*</div>\\s*<article>'))::BIGINT AS n FROM pages")
+selected("sel_attr_prefix", 'a[href^="/"]', _WHERE.format("starts_with(x, '/')"))
+selected("sel_attr_suffix", 'a[href$=".html"]', _WHERE.format("suffix(x, '.html')"))
+selected("sel_attr_part", 'a[href*="A" i]', _WHERE.format("contains(lower(x), 'a')"))
+selected("sel_not_complex", "li:not(nav ul > li:first-child)", f"SELECT page_id, greatest(0, {_LI} - 1)::BIGINT AS n FROM pages")
+
+
+@query(f"SELECT page_id, i::INT AS pos, {_TEXT.format('t')} AS text, lead({_TEXT.format('t')}) OVER (PARTITION BY page_id ORDER BY i) AS next FROM ({_LINKS})")
+def next_link(spark, sf_dir):
+    d = dom(spark, sf_dir)
+    found = nodes.with_text(nodes.select(d, "nav li"), d)
+    w = nodes.Window.partitionBy("doc_id").orderBy("nid")
+    return found.select(F.col("doc_id").alias("page_id"), (F.row_number().over(w) - 1).cast("int").alias("pos"), "text", F.lead("text").over(w).alias("next"))
+
+
+@query(f"SELECT page_id, list({_TEXT.format('t')} ORDER BY i) AS items FROM ({_LINKS}) GROUP BY page_id")
+def lists(spark, sf_dir):
+    return extract.lists(pages(spark, sf_dir)).select("page_id", "items")
+
+
+@query(f"SELECT page_id, count(*) AS n, min({_TEXT.format('t')}) AS first_text FROM ({_LINKS}) WHERE i < 2 GROUP BY page_id")
+def find_first_two(spark, sf_dir):
+    d = dom(spark, sf_dir)
+    found = nodes.with_text(nodes.find_all(d, "a", {"href": True}, limit=2), d)
+    return found.groupBy(F.col("doc_id").alias("page_id")).agg(F.count(F.lit(1)).alias("n"), F.min("text").alias("first_text"))
+
+
+@query("""SELECT page_id, len(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(html, '<nav>.*?</nav>|<script>.*?</script>|<style>.*?</style>|<footer>.*|<title>.*?</title>', '', 'gs'), '<[^>]*>', '', 'g'), '&amp;?', '&', 'g'), '&copy;', '©'), '&middot;', '·'), '&quot;', '"'))::BIGINT AS n FROM pages""")
+def boilerplate_removed(spark, sf_dir):
+    left = nodes.without(dom(spark, sf_dir), "nav, script, style, footer, title")
+    return left.groupBy(F.col("doc_id").alias("page_id")).agg(F.sum(F.when(F.col("kind") == "text", F.length("data")).otherwise(0)).alias("n"))
+
+
+_CLASS = r"[\x{9}-\x{d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+
+
+@query(f"SELECT doc_id, regexp_replace(regexp_replace(nfc_normalize(regexp_replace(coalesce(text, ''), '[\\x{{ad}}\\x{{200b}}-\\x{{200f}}\\x{{2060}}\\x{{feff}}\\x{{180e}}]', '', 'g')), '{_CLASS}+', ' ', 'g'), '^ | $', '', 'g') AS text FROM documents")
+def clean_documents(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", text.clean_text(F.col("text"), decode=False).alias("text"))
+
+
+@query("SELECT doc_id, text FROM documents")
+def entities_roundtrip(spark, sf_dir):
+    escaped = F.replace(F.replace(F.replace(F.col("text"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    return table(spark, sf_dir, "documents").select("doc_id", text.decode_entities(escaped).alias("text"))
+
+
+_ORDER_HTML = F.expr(
+    "concat('<table><tr><th>key</th><th>status</th><th></th></tr>', array_join(transform(sort_array(collect_list(struct(o_orderkey, o_orderstatus, o_orderpriority))),"
+    " x -> concat('<tr><td>', x.o_orderkey, '<td> ', x.o_orderstatus, ' </td><td>', x.o_orderpriority, '</td></tr>')), ''), '</table>')"
+)
+
+
+@query("SELECT o_custkey AS custkey, o_orderkey::VARCHAR AS key, o_orderstatus AS status, o_orderpriority AS priority FROM orders WHERE o_orderkey % 10 = 0")
+def table_roundtrip(spark, sf_dir):
+    made = table(spark, sf_dir, "orders").where("o_orderkey % 10 = 0").groupBy("o_custkey").agg(_ORDER_HTML.alias("html"))
+    found = extract.tables(made, id_col="o_custkey", url_col=None)
+    return found.select(F.col("o_custkey").alias("custkey"), F.col("record.key"), F.col("record.status"), F.col("record.col_2").alias("priority"))
+
+
+@query("SELECT n_nationkey AS nationkey, n_name AS a, n_name AS b, r_name AS c, r_name AS c_below FROM nation JOIN region ON n_regionkey = r_regionkey")
+def table_spans(spark, sf_dir):
+    made = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(
+        "n_nationkey", F.concat(F.lit("<table><tr><th>a<th>b<th>c<tr><td colspan=2>"), "n_name", F.lit("<td rowspan=2>"), "r_name", F.lit("<tr><td>x<td>y</table>")).alias("html")
+    )
+    found = extract.tables(made, id_col="n_nationkey", url_col=None)
+    rows = found.groupBy(F.col("n_nationkey").alias("nationkey")).agg(F.min_by("record", "row_no").alias("r"), F.max_by("record", "row_no").alias("s"))
+    return rows.select("nationkey", F.col("r.a"), F.col("r.b"), F.col("r.c"), F.col("s.c").alias("c_below"))
+
+
+@query("SELECT p_partkey AS partkey, p_name AS name, p_brand AS brand, [p_brand, p_type] AS tags FROM part")
+def extract_schema(spark, sf_dir):
+    made = table(spark, sf_dir, "part").select(
+        "p_partkey", F.concat(F.lit("<div class='part'><span class=name>"), "p_name", F.lit("</span><b data-brand='"), "p_brand", F.lit("'></b><i>"), "p_brand", F.lit("</i><i>"), "p_type", F.lit("</i></div>")).alias("html")
+    )
+    schema = {"name": ".part > .name", "brand": {"css": "b", "attr": ["data-x", "data-brand"]}, "tags": {"css": "i", "all": True}}
+    return extract.extract(made, schema, id_col="p_partkey", url_col=None).withColumnRenamed("p_partkey", "partkey")
+
+
+@query("SELECT n_regionkey AS regionkey, n_nationkey::VARCHAR AS key, n_name AS name FROM nation")
+def records_roundtrip(spark, sf_dir):
+    item = F.concat(F.lit("<li id="), "n_nationkey", F.lit("><a>"), "n_name", F.lit("</a>"))
+    made = table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.concat(F.lit("<ul>"), F.array_join(F.collect_list(item), ""), F.lit("</ul>")).alias("html"))
+    found = extract.records(made, "ul > li", {"key": {"attr": "id"}, "name": "a"}, id_col="n_regionkey", url_col=None)
+    return found.select(F.col("n_regionkey").alias("regionkey"), "key", "name")
+
+
+@query("SELECT p_partkey AS partkey, UNNEST(['/s/' || p_partkey || '.png', '/l/' || p_partkey || '.png']) AS url, UNNEST([0, 1]) AS rank FROM part")
+def srcset_roundtrip(spark, sf_dir):
+    k = F.col("p_partkey").cast("string")
+    made = table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("<img srcset='/s/"), k, F.lit(".png 1x, /l/"), k, F.lit(".png 2x'>")).alias("html"))
+    return extract.find_urls(made, id_col="p_partkey", url_col=None).select(F.col("p_partkey").alias("partkey"), "url", "rank")
+
+
+@query("SELECT n_nationkey AS nationkey, n_name AS title, n_name AS description, 'https://x.org/' || n_nationkey AS canonical FROM nation")
+def meta_roundtrip(spark, sf_dir):
+    made = table(spark, sf_dir, "nation").select(
+        "n_nationkey", F.concat(F.lit("<title>"), "n_name", F.lit("</title><meta name=Description content=old><meta property=description content='"), "n_name", F.lit("'><link rel=canonical href=https://x.org/"), "n_nationkey", F.lit(">")).alias("html")
+    )
+    found = extract.meta(made, id_col="n_nationkey", url_col=None)
+    return found.select(F.col("n_nationkey").alias("nationkey"), "title", F.col("meta")["description"].alias("description"), "canonical")
+
+
+@query("SELECT event_id, json_extract_string(props, '$.k') AS k FROM events WHERE event_id % 5 = 0 AND props IS NOT NULL")
+def embedded_json(spark, sf_dir):
+    made = table(spark, sf_dir, "events").where("event_id % 5 = 0 AND props IS NOT NULL").select("event_id", F.concat(F.lit("<script type='application/json'>"), "props", F.lit("</script>")).alias("html"))
+    found = extract.embedded_json(made, id_col="event_id", url_col=None)
+    return found.select("event_id", F.get_json_object("json", "$.k").alias("k"))
+
+
+@query("SELECT s_suppkey AS suppkey, 'https://x.org/api/s/' || s_suppkey AS url, 6 AS score FROM supplier")
+def discover_scores(spark, sf_dir):
+    made = table(spark, sf_dir, "supplier").select("s_suppkey", F.concat(F.lit("<div data-api='/api/s/"), "s_suppkey", F.lit("'></div>")).alias("html"), F.lit("https://x.org/p").alias("url"))
+    found = extract.discover_endpoints(made, id_col="s_suppkey")
+    return found.select(F.col("s_suppkey").alias("suppkey"), "url", "score")
+
+
+@query("""SELECT '"' || replace(s_name || '"', '"', '""') || '",' || s_nationkey || ',' || CASE WHEN s_nationkey > 12 THEN 'true' ELSE 'false' END || ',a|b' AS line FROM supplier""")
+def csv_cells(spark, sf_dir):
+    rows = table(spark, sf_dir, "supplier").select(F.concat("s_name", F.lit('"')).alias("name"), "s_nationkey", (F.col("s_nationkey") > 12).alias("high"), F.array(F.lit("a"), F.lit("b")).alias("tags"))
+    return formats.to_csv(rows)
+
+
+@query("""SELECT '{"n_nationkey":' || n_nationkey || ',"n_name":"' || n_name || '","n_regionkey":' || n_regionkey || '}' AS json FROM nation""")
+def json_lines(spark, sf_dir):
+    return formats.to_json(table(spark, sf_dir, "nation"))
+
+
+@query("SELECT user_id, event_type, count(*) AS n, min(ts) AS first_at, max(ts) AS last_at FROM events GROUP BY user_id, event_type")
+def network_fold(spark, sf_dir):
+    return netlog.fold(table(spark, sf_dir, "events"), ("user_id",))
+
+
+@query("SELECT event_id, round(CASE WHEN value >= 0 THEN value ELSE -1 END, 3) AS wait, round(greatest(CASE WHEN value >= 0 THEN round(value, 3) ELSE -1 END, 0) + 5.0, 3) AS total FROM events WHERE value IS NOT NULL")
+def har_timings(spark, sf_dir):
+    none = F.lit(None).cast("double")
+    rows = table(spark, sf_dir, "events").where("value IS NOT NULL").select(
+        "event_id", *[F.lit(-1.0).alias(f"{p}_{e}") for p in ("dns", "connect", "ssl") for e in ("start", "end")], F.lit(0.0).alias("send_start"), F.lit(5.0).alias("send_end"),
+        (F.col("value") + 5).alias("headers_end"), none.alias("t_request"), none.alias("t_response"), none.alias("t_finished"), F.lit(False).alias("failed"),
+    )
+    return formats.har_timings(rows).select("event_id", "wait", "total")
+
+
+@query("SELECT u AS url, min(page_id) AS page_id, count(*) AS n FROM (SELECT page_id, regexp_replace(url, '[?#].*$', '') AS u FROM pages) GROUP BY u")
+def dedup_urls(spark, sf_dir):
+    plain = F.regexp_replace("url", "[?#].*$", "").alias("url")
+    return pages(spark, sf_dir).select("page_id", plain).groupBy("url").agg(F.min("page_id").alias("page_id"), F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def pretty_pages(spark, sf_dir):
+    return extract.serialized(pages(spark, sf_dir))
+
+
+@query("SELECT page_id, (len(regexp_extract_all(html, '<a href')) <= 3 AND len(regexp_extract_all(html, '<script')) >= 5) AS is_shell FROM pages")
+def js_shell(spark, sf_dir):
+    return extract.js_shell(pages(spark, sf_dir)).select("page_id", "is_shell")
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_ORACLES)
