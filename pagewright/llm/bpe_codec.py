@@ -31,78 +31,96 @@ DICTIONARY = 400_000
 #: Documents of the sample from which frequent words come, and how many words are taken.
 #: The sample only saves work: ids don't depend on it.
 SAMPLE_DOCS, SAMPLE_WORDS = 16_000, 200_000
-BUCKETS = 1 << 16
+#: Slots of each of the rank map's two tables; bits of a token id, and what stands for no rank.
+SLOTS, ID_BITS = 1 << 18, 17
+NONE = 1 << 20
+MIX = (0x1E3779B1, 0x15EBCA77)
+
+
+def slot(key: int, which: int) -> int:
+    return ((key * MIX[which]) >> 28) % SLOTS
 
 
 @lru_cache(2)
-def pair_table(path: str) -> tuple[list[int], str]:
-    """Ids of single bytes, and the literal rank map as JSON.
+def pair_tables(path: str) -> tuple[list[int], list[int], list[int]]:
+    """Ids of single bytes, and the rank map: pairs of ids whose bytes together are a token.
 
-    The map has, for each pair of ids whose bytes together are a token, that token's
-    rank. As Spark looks the keys of a map up one after another, it is cut into small
-    buckets, each with its keys and, in the same order, their ranks.
+    As Spark looks the keys of a map up one after another, the map is two tables: each
+    pair is in its slot of one or the other (cuckoo hashing), next to its rank. An entry
+    is the left id, the right id and the rank, from the high bits to the low ones.
     """
     ranks = rank_file(path)
-    buckets: list[dict[int, int]] = [{} for _ in range(BUCKETS)]
+    tables: tuple[list[int], list[int]] = ([-1] * SLOTS, [-1] * SLOTS)
     for token, rank in ranks.items():
         for i in range(1, len(token)):
             a, b = ranks.get(token[:i]), ranks.get(token[i:])
-            if a is not None and b is not None:
-                buckets[(a * 31 + b) % BUCKETS][(a << 17) | b] = rank
-    said = {"keys": [list(b) for b in buckets], "ranks": [list(b.values()) for b in buckets]}
-    return [ranks[bytes([b])] for b in range(256)], json.dumps(said, separators=(",", ":"))
+            if a is None or b is None:
+                continue
+            entry, which = ((a << ID_BITS) | b) << ID_BITS | rank, 0
+            for _ in range(500):
+                at = slot(entry >> ID_BITS, which)
+                entry, tables[which][at] = tables[which][at], entry
+                if entry < 0:
+                    break
+                which = 1 - which
+            else:
+                raise ValueError("the rank map's tables are too small for this vocabulary")
+    return [ranks[bytes([b])] for b in range(256)], *tables
 
 
 def fold_all(words: Column, path: str) -> Column:
     """Token ids of each word (binary) of an array. The tables are bound once, as literals."""
-    single, said = pair_table(path)
-    tables = F.struct(
-        F.from_json(F.lit(said), "keys array<array<bigint>>, ranks array<array<int>>").alias("map"),
-        F.from_json(F.lit(json.dumps(single)), "array<int>").alias("of_byte"),
-    )
-    return F.transform(F.array(tables), lambda t: F.transform(words, lambda w: fold(w, t["map"], t["of_byte"])))[0]
+    literal = lambda x, kind: F.from_json(F.lit(json.dumps(x, separators=(",", ":"))), f"array<{kind}>")
+    of_byte, first, second = pair_tables(path)
+    tables = F.struct(literal(first, "bigint").alias("first"), literal(second, "bigint").alias("second"), literal(of_byte, "bigint").alias("of_byte"))
+    return F.transform(F.array(tables), lambda t: F.transform(words, lambda w: fold(w, t)))[0]
 
 
-def fold(word: Column, ranks: Column, of_byte: Column) -> Column:
+def fold(word: Column, tables: Column) -> Column:
     """Token ids of ``word`` as array<int>, by ranked merges.
 
-    The state holds the parts' ids and the rank of each neighbouring pair, so a merge
-    looks up the two pairs it makes and no more.
+    The state is one array: each part's id, below the rank of the part with the one after
+    it. Its minimum is thus the pair to merge, the first place of it the leftmost such
+    pair, and its high bits the merged token's id. A merge looks up the two pairs it makes.
     """
     call = F.call_function
+    low = F.lit((1 << ID_BITS) - 1).cast("bigint")
+    none = F.lit(NONE).cast("bigint")
+    right = F.shiftright
 
     def rank(a: Column, b: Column) -> Column:
-        bucket = (a * 31 + b) % BUCKETS
-        key = F.shiftleft(a.cast("bigint"), 17).bitwiseOR(b.cast("bigint"))
-        return F.get(F.get(ranks["ranks"], bucket), (call("array_position", F.get(ranks["keys"], bucket), key) - 1).cast("int"))
-
-    digits = F.hex(word)
-    n = F.octet_length(word)
-    parts = F.transform(
-        F.sequence(F.lit(1), n), lambda i: F.get(of_byte, F.conv(call("substr", digits, i * 2 - 1, F.lit(2)), 16, 10).cast("int"))
-    )
-    pairs = lambda p: F.zip_with(F.slice(p, 1, F.size(p) - 1), F.slice(p, 2, F.size(p)), rank)
+        key = F.shiftleft(a, ID_BITS).bitwiseOR(b)
+
+        def entry(which: int) -> Column:
+            at = right(key * F.lit(MIX[which]).cast("bigint"), 28).bitwiseAND(F.lit(SLOTS - 1).cast("bigint"))
+            return F.get(tables["first" if which == 0 else "second"], at.cast("int"))
+
+        other = F.when(right(entry(1), ID_BITS) == key, entry(1).bitwiseAND(low)).otherwise(none)
+        return F.when(right(entry(0), ID_BITS) == key, entry(0).bitwiseAND(low)).otherwise(other)
+
+    part = lambda a, b: F.shiftleft(F.when(b.isNull(), none).otherwise(rank(a, b)), ID_BITS).bitwiseOR(a)
+    digits, n = F.hex(word), F.octet_length(word)
+    byte = lambda i: F.get(tables["of_byte"], F.conv(call("substr", digits, i * 2 - 1, F.lit(2)), 16, 10).cast("int"))
+    parts = F.transform(F.sequence(F.lit(1), n), byte)
+    start = F.transform(F.array(parts), lambda p: F.transform(p, lambda a, i: part(a, F.get(p, i + 1))))[0]
+
+    def merge_at(s: Column, best: Column) -> Column:
+        at = call("array_position", s, best).cast("int")
+        made = right(best, ID_BITS)
+        after = F.get(s, at + 1).bitwiseAND(low)
+        before = F.get(s, at - 2).bitwiseAND(low)
+        new = F.array(part(made, after))
+        return F.concat(
+            F.when(at > 1, F.concat(F.slice(s, 1, at - 2), F.array(part(before, made)), new)).otherwise(new), F.slice(s, at + 2, F.size(s))
+        )
 
     def step(s: Column, _: Column) -> Column:
-        ids, ranked = s["ids"], s["ranked"]
-        best = F.array_min(ranked)
-        at = call("array_position", ranked, best).cast("int")
-        before = F.when(at > 1, F.array(rank(F.get(ids, at - 2), best))).otherwise(F.array().cast("array<int>"))
-        after = F.when(at + 1 < F.size(ids), F.array(rank(best, F.get(ids, at + 1)))).otherwise(F.array().cast("array<int>"))
-        return F.when(best.isNull(), s).otherwise(
-            F.struct(
-                F.concat(F.slice(ids, 1, at - 1), F.array(best), F.slice(ids, at + 2, F.size(ids))).alias("ids"),
-                F.concat(F.slice(ranked, 1, F.greatest(at - 2, F.lit(0))), before, after, F.slice(ranked, at + 2, F.size(ids))).alias("ranked"),
-            )
-        )
+        best = F.array_min(s)
+        done = best >= F.lit(NONE << ID_BITS).cast("bigint")
+        return F.when(done, s).otherwise(F.transform(F.array(best), lambda b: merge_at(s, b))[0])
 
-    folded = F.aggregate(
-        F.sequence(F.lit(2), n),
-        F.transform(F.array(parts), lambda p: F.struct(p.alias("ids"), pairs(p).alias("ranked")))[0],
-        step,
-        lambda s: s["ids"],
-    )
-    return F.when(n == 0, F.array().cast("array<int>")).when(n == 1, parts).otherwise(folded)
+    merged = F.aggregate(F.sequence(F.lit(2), n), start, step, lambda s: F.transform(s, lambda x: x.bitwiseAND(low).cast("int")))
+    return F.when(n == 0, F.array().cast("array<int>")).when(n == 1, F.transform(parts, lambda x: x.cast("int"))).otherwise(merged)
 
 
 def splitter(pattern: str):
@@ -177,7 +195,7 @@ def frequent(texts: DataFrame, path: str, pattern: str) -> dict[bytes, bytes]:
                 seen.update(split(text or ""))
             if len(seen) > DICTIONARY:
                 seen = Counter(dict(seen.most_common(DICTIONARY // 2)))
-        rows = [(w.encode("utf-8", "replace"), n) for w, n in seen.items() if n > 1]
+        rows = [(w.encode("utf-8", "replace"), n) for w, n in seen.items()]
         rows = [(w, n) for w, n in rows if len(w) <= LONG]
         yield pd.DataFrame({"word": [w for w, _ in rows], "n": np.array([n for _, n in rows], np.int64)})
 
