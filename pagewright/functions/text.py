@@ -80,8 +80,8 @@ def soft_strip(c: Column) -> Column:
     return strip(F.translate(c, " ", " "))
 
 
-def clean_text(c: Column, mode: str = "plain", decode: bool = True, form: str = "NFC") -> Column:
-    """Clean a text in one of MODES; null becomes the empty text."""
+def clean_text(c: Column, mode: str = "plain", decode: bool = True, form: str | None = "NFC") -> Column:
+    """Clean a text in one of MODES; null becomes the empty text. Without a form it stays in the JVM."""
     if mode not in MODES:
         raise ValueError(f"unknown mode {mode!r}; one of {', '.join(MODES)}")
     c = F.coalesce(c.cast("string"), F.lit(""))
@@ -90,7 +90,8 @@ def clean_text(c: Column, mode: str = "plain", decode: bool = True, form: str =
     c = decode_entities(c) if decode else c
     if mode == "raw":
         return c
-    c = normalize_unicode(remove_invisible(c), form)
+    c = remove_invisible(c)
+    c = normalize_unicode(c, form) if form else c
     if mode == "strict":
         c = F.regexp_replace(c, r"[\p{C}&&[^\t\n\r]]", "")
     return collapse_ws(c, mode == "keep_newlines")
@@ -125,8 +126,12 @@ class CleanPipeline:
 
     @classmethod
     def recipe(cls, name: str) -> CleanPipeline:
-        """Recipes by the names of MODES, for texts that are already decoded."""
-        return cls(lambda c: clean_text(c, name, decode=False))
+        """Recipes by the names of MODES, for decoded texts, at any depth.
+
+        Spark allows no Python function inside a lambda over arrays and maps, so Unicode
+        isn't normalised here; use ``clean_text`` on top-level columns for that.
+        """
+        return cls(lambda c: clean_text(c, name, decode=False, form=None))
 
 
 def clean_plain(text: str) -> str:

@@ -164,7 +164,7 @@ def entities_roundtrip(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.decode_entities(escaped).alias("text"))
 
 
-_ORDER_HTML = F.expr(
+_ORDER_HTML = (
     "concat('<table><tr><th>key</th><th>status</th><th></th></tr>', array_join(transform(sort_array(collect_list(struct(o_orderkey, o_orderstatus, o_orderpriority))),"
     " x -> concat('<tr><td>', x.o_orderkey, '<td> ', x.o_orderstatus, ' </td><td>', x.o_orderpriority, '</td></tr>')), ''), '</table>')"
 )
@@ -172,7 +172,7 @@ _ORDER_HTML = F.expr(
 
 @query("SELECT o_custkey AS custkey, o_orderkey::VARCHAR AS key, o_orderstatus AS status, o_orderpriority AS priority FROM orders WHERE o_orderkey % 10 = 0")
 def table_roundtrip(spark, sf_dir):
-    made = table(spark, sf_dir, "orders").where("o_orderkey % 10 = 0").groupBy("o_custkey").agg(_ORDER_HTML.alias("html"))
+    made = table(spark, sf_dir, "orders").where("o_orderkey % 10 = 0").groupBy("o_custkey").agg(F.expr(_ORDER_HTML).alias("html"))
     found = extract.tables(made, id_col="o_custkey", url_col=None)
     return found.select(F.col("o_custkey").alias("custkey"), F.col("record.key"), F.col("record.status"), F.col("record.col_2").alias("priority"))
 
