@@ -102,20 +102,47 @@ def banded_distance(a: Column, b: Column, threshold: int) -> Column:
                 (v["d"] + score).alias("d"),
             )
 
-        return bind(three, after)
+        # The distance in the band's last row never falls, and at the end by 2 t at most.
+        return F.when(s["d"] > 3 * t, s).otherwise(bind(three, after))
 
     start = F.struct(F.lit(full ^ ((1 << t) - 1)).alias("vp"), F.lit(0).alias("vn"), F.lit(t).alias("d"))
     return F.aggregate(F.sequence(F.lit(1), n), start, column, lambda s: s["d"])
 
 
+def trimmed(x: Column, y: Column, threshold: int) -> Column:
+    """struct(x, y) without equal starts and ends, which leaves the edit distance as it is.
+
+    Blocks of half the length, a quarter and so on are taken off where they are equal, so
+    that little more than the differences is left for the distance, and ``threshold``
+    characters at least.
+    """
+    call = F.call_function
+
+    def shorter(v: Column, k: int, start: bool) -> Column:
+        h = F.shiftright(v["room"], k)
+        side = "left" if start else "right"
+        rest = (lambda c: call("substring", c, h + 1)) if start else (lambda c: call("left", c, F.length(c) - h))
+        same = (h > 0) & (call(side, v["x"], h) == call(side, v["y"], h))
+        return F.when(same, F.struct(rest(v["x"]).alias("x"), rest(v["y"]).alias("y"), v["room"].alias("room"))).otherwise(v)
+
+    state = F.struct(x.alias("x"), y.alias("y"))
+    for start in (True, False):
+        state = bind(state, lambda v: F.struct(v["x"].alias("x"), v["y"].alias("y"), (F.least(F.length(v["x"]), F.length(v["y"])) - threshold).alias("room")))
+        for k in range(1, 7):
+            state = bind(state, lambda v, k=k, start=start: shorter(v, k, start))
+    return state
+
+
 def bind(value: Column, use) -> Column:
     """``use(value)`` with the value computed once."""
-    return F.transform(F.array(value), use)[0]
+    return F.transform(F.array(value), lambda v: use(v))[0]
 
 
 def linked_lines(lines: DataFrame, threshold: int) -> DataFrame:
     """Pairs (a, b) of first places (struct id, line) of different lines within the threshold."""
     distinct = lines.groupBy("h1", "h2").agg(F.min(F.struct("id", "line")).alias("first"), F.first("body").alias("body"))
+    # All uses need the same columns, so that the texts are shuffled once and the exchange is used again.
+    distinct = distinct.where("first is not null")
     length = F.length("body")
     slots = distinct.select("h1", "h2", F.explode(index_keys(F.col("body"), length, threshold)).alias("key"))
     probes = distinct.select("h1", "h2", F.explode(probe_keys(F.col("body"), length, threshold)).alias("p")).select(
@@ -131,7 +158,8 @@ def linked_lines(lines: DataFrame, threshold: int) -> DataFrame:
     one = distinct.select("h1", "h2", F.col("first").alias("a"), F.col("body").alias("x"))
     two = distinct.select(F.col("h1").alias("p1"), F.col("h2").alias("p2"), F.col("first").alias("b"), F.col("body").alias("y"))
     both = met.join(one, ["h1", "h2"]).join(two, ["p1", "p2"])
-    return both.where(banded_distance(F.col("x"), F.col("y"), threshold) <= threshold).select("a", "b")
+    near = bind(trimmed(F.col("x"), F.col("y"), threshold), lambda v: banded_distance(v["x"], v["y"], threshold) <= threshold)
+    return both.where(near).select("a", "b")
 
 
 def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
