@@ -316,6 +316,20 @@ def test_passages(spark):
     assert chaining.passages(documents(spark, rows).limit(0)).count() == 0
 
 
+def test_passages_of_a_hot_source(spark):
+    rng = random.Random(14)
+    passage = words(rng, 80, "abcdefghijklmnop")
+    rows = [(i, f"{words(rng, i % 7, 'qrst')} {passage}".strip()) for i in range(2 * chaining.HOT_LINKS)]
+    out = chaining.passages(documents(spark, rows)).collect()
+    assert sorted(r.doc_id for r in out) == list(range(1, len(rows))) and {r.source_doc_id for r in out} == {0}
+    assert all(r.similarity == 1 and r.end_word - r.start_word == 80 for r in out)
+    links = spark.createDataFrame([(i, 0 if i < 200 else 1) for i in range(210)], "doc long, source long")
+    slotted, slots = chaining.dealt(links)
+    sizes = {(r.source, r.slot): r["count"] for r in slotted.groupBy("source", "slot").count().collect()}
+    assert sum(sizes.values()) == 210 and sizes[1, 0] == 10 and max(n for (s, _), n in sizes.items() if s == 0) < 20
+    assert {(r.source, r.slot) for r in slots.collect()} == set(sizes)
+
+
 def test_chain_is_the_best():
     rng = random.Random(12)
     for _ in range(30):
