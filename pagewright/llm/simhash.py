@@ -14,7 +14,7 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, cut
@@ -50,16 +50,22 @@ def fingerprint(text: str | None, words: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str, text_col: str, words: int = 3) -> DataFrame:
-    """Return (id, fingerprint bigint) for each row."""
+    """Return (id, text_hash bigint, fingerprint bigint) for each row."""
     bounded_batches(docs.sparkSession)
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    text = F.col(text_col)
+    texts = docs.select(F.col(id_col).alias("id"), hash_of(text).alias("text_hash"), text.alias("text"))
     kind = texts.schema["id"].dataType.simpleString()
 
     def run(batches):
         for batch in batches:
-            yield pd.DataFrame({"id": batch["id"], "fingerprint": [fingerprint(t, words) for t in batch["text"]]})
+            yield batch[["id", "text_hash"]].assign(fingerprint=[fingerprint(t, words) for t in batch["text"]])
 
-    return texts.mapInPandas(run, f"id {kind}, fingerprint bigint")
+    return texts.mapInPandas(run, f"id {kind}, text_hash bigint, fingerprint bigint")
+
+
+def hash_of(text: Column) -> Column:
+    """With the id, tells a row from others; rows that agree in both are equal."""
+    return F.xxhash64(text)
 
 
 def ball(bits: int, radius: int) -> list[int]:
@@ -91,23 +97,39 @@ def close_pairs(distinct: DataFrame, radius: int = 2, segments: int = 2) -> Data
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, radius: int = 2) -> DataFrame:
-    """Return (id, fingerprint bigint, component): the smallest id that links reach.
-
-    Links join fingerprints that differ in at most ``radius`` bits. Null and empty texts
-    have fingerprint zero and are linked like others. Rows that repeat an id are equal
-    nodes. Null ids are kept, but never name a component if another id is in it.
+    """Return (id, fingerprint bigint, component_id, text_hash bigint, first boolean) for each row.
+
+    Links join fingerprints that differ in at most ``radius`` bits. A component is named
+    by the smallest id in it, and ``first`` marks its first row: the one of that id, and
+    of the smallest hash if the id has several texts. Null and empty texts have
+    fingerprint zero and are linked like others. Rows that repeat an id are rows of their
+    own; equal rows are all ``first`` or none is. Null ids come last, and name a
+    component if it has no other.
     """
     found = cut(fingerprints(docs, id_col, text_col, words))
-    distinct = cut(found.groupBy("fingerprint").agg(F.min("id").alias("least")))
+    row = F.struct(F.col("id").isNull().alias("null"), "id", "text_hash")
+    distinct = cut(found.groupBy("fingerprint").agg(F.min(row).alias("least")))
     reach = components(close_pairs(distinct, radius), "a", "b")
     classes = distinct.join(reach, distinct["fingerprint"] == reach["node"], "left").select(
         "fingerprint", "least", F.coalesce("component", "fingerprint").alias("root")
     )
-    named = classes.groupBy("root").agg(F.min("least").alias("component"))
-    of = classes.join(named, "root").select("fingerprint", "component")
-    return found.join(of, "fingerprint").select(F.col("id").alias(id_col), "fingerprint", F.col("component").alias("component_id"))
+    named = classes.groupBy("root").agg(F.min("least").alias("named"))
+    of = classes.join(named, "root").select("fingerprint", "named")
+    first = F.col("id").eqNullSafe(F.col("named.id")) & (F.col("text_hash") == F.col("named.text_hash"))
+    return found.join(of, "fingerprint").select(
+        F.col("id").alias(id_col), "fingerprint", F.col("named.id").alias("component_id"), "text_hash", first.alias("first")
+    )
+
+
+def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, radius: int = 2) -> DataFrame:
+    """``docs`` with one row of each component, its first; of equal rows, one stays."""
+    found = near_duplicates(docs, id_col, text_col, words, radius).where("first")
+    kept = found.select(F.col(id_col).alias("__id"), F.col("text_hash").alias("__kept")).distinct()
+    hashed = docs.withColumn("__hash", hash_of(F.col(text_col)))
+    same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__kept"))
+    return hashed.join(kept, same, "left_semi").dropDuplicates([id_col, "__hash"]).drop("__hash")
 
 
-def hexadecimal(fingerprint) -> "F.Column":
+def hexadecimal(fingerprint: Column) -> Column:
     """16 lower-case hex digits of a bigint."""
     return F.lower(F.lpad(F.hex(fingerprint), 16, "0"))

@@ -288,6 +288,18 @@ def test_simhash(spark, docs):
     assert simhash.near_duplicates(docs).count() == docs.count()  # a null id stays
 
 
+def test_one_document_of_each_component_stays(spark):
+    rng = random.Random(31)
+    a, b, c, d = (words(rng, 60) for _ in range(4))
+    rows = [(1, a), (2, a), (None, a), (None, b), (None, b), (None, c), (5, d), (5, d), (5, words(rng, 60)), (4, d), (6, None), (7, ""), (8, " \n")]
+    table = documents(spark, rows)
+    out = simhash.without_near_duplicates(table)
+    assert out.columns == table.columns
+    key = lambda r: (r[0] is None, r[0] or 0, r[1] or "")
+    assert sorted(((r.doc_id, r.text) for r in out.collect()), key=key) == sorted([(1, a), (None, b), (None, c), (4, d), rows[8], (6, None)], key=key)
+    assert simhash.without_near_duplicates(table.limit(0)).count() == 0
+
+
 @pytest.mark.parametrize(("radius", "segments"), [(2, 2), (3, 2), (1, 2), (3, 4)])
 def test_close_pairs(spark, radius, segments):
     rng = random.Random(10)
