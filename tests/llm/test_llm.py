@@ -270,6 +270,24 @@ def test_vector_dedup(spark):
     assert vector_dedup.link_vectors(table.limit(0)).count() == 0
 
 
+def test_links_of_a_group_far_wider_than_the_window(spark):
+    rng = np.random.default_rng(15)
+    x = rng.normal(size=(7000, 32))
+    x[:6000] = x[0] + rng.normal(size=(6000, 32)) * rng.uniform(0.1, 0.35, (6000, 1))
+    x[6100] = x[6101] * 3
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r for r in vector_dedup.link_vectors(table).collect()}
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = unit @ unit.T >= 0.95
+    want = near.sum(axis=1) - 1
+    found = np.array([got[i].n_links for i in range(7000)])
+    assert want.max() > 4 * vector_dedup.WINDOW and (found <= want).all()
+    assert found.sum() >= 0.999 * want.sum(), found.sum() / want.sum()
+    root = vector_dedup.roots(*np.nonzero(near), 7000)
+    assert sum(got[i].component_id == root[i] for i in range(7000)) >= 0.999 * 7000
+    assert vector_dedup.passes_for(10**8, 0.95, 512) > vector_dedup.passes_for(10**6, 0.95, 512) > vector_dedup.PASSES
+
+
 def brute_fingerprint(text):
     text = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
     parts = re.findall("[^\x20\x09-\x0d]+", text)
