@@ -4,7 +4,9 @@ Vectors are cut into subspaces of ``SUB`` dimensions, each coded in four bits. T
 and coding weigh the part of the residual that is parallel to the vector ``eta`` times
 as much as the rest, as it is what changes large inner products. A query's table of
 centre scores is summed over the codes of a block of vectors, and the best of the block
-are scored exactly on the original vectors.
+are scored exactly on the original vectors. So is every other vector whose code's score,
+and the most that its residual can add, reaches the last of the ``top`` of those: what is
+found is exact, however little the codes tell near copies apart.
 
 Queries and vectors meet in blocks: each pair of a query block and a vector block is one
 task's work, of a bounded size.
@@ -23,8 +25,10 @@ from .vectors import matrix, usable
 SUB, CENTRES = 2, 16
 #: Vectors of the training sample, threshold of the score-aware weight, and sweeps.
 SAMPLE, SCORE_T, SWEEPS, ROUNDS = 4096, 0.2, 2, 6
-#: Rows of a block of queries and of a block of vectors, and vectors reranked in each.
+#: Rows of a block of queries and of a block of vectors, and vectors reranked first in each.
 QUERY_BLOCK, VECTOR_BLOCK, RERANK = 1024, 16384, 256
+#: Queries that are multiplied with a block of vectors at once.
+CHUNK = 64
 
 
 def eta(dims: int) -> float:
@@ -81,6 +85,14 @@ def train(x: np.ndarray, weight: float, seed: int = 7) -> np.ndarray:
     return centres
 
 
+def residuals(x: np.ndarray, codes: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Norm of what each row's packed codes (bytes, rows) leave of it."""
+    left = parts_of(x)
+    for m in range(left.shape[1]):
+        left[:, m] -= centres[m][codes[m // 2] >> 4 if m % 2 else codes[m // 2] & 15]
+    return np.sqrt((left * left).sum((1, 2)))
+
+
 def scan(queries: pd.DataFrame, rows: pd.DataFrame, centres: np.ndarray, top: int, rerank: int) -> pd.DataFrame:
     """The ``top`` best of a block of vectors for each query of a block.
 
@@ -97,15 +109,35 @@ def scan(queries: pd.DataFrame, rows: pd.DataFrame, centres: np.ndarray, top: in
     x = matrix(one["vector"])
     codes = np.frombuffer(b"".join(one["codes"]), np.uint8).reshape(len(one), -1).astype(np.intp)
     codes = np.ascontiguousarray(codes.T)
+    single, size, left = x.astype(np.float32), np.linalg.norm(x, axis=1), residuals(x, codes, centres)
+    # What sums of so many terms in single precision can be wrong by, of the norms' product.
+    wrong = (x.shape[1] + 8) * 2.0**-22
+    first = max(rerank, top + 1)
+    asked, chunk = matrix(queries["vector"], x.shape[1]), None
     out = []
-    for query, vector in zip(queries["id"], queries["vector"], strict=True):
-        q = np.frombuffer(vector, "<f8")
+    for k, (query, q) in enumerate(zip(queries["id"], asked, strict=True)):
+        if k % CHUNK == 0:
+            chunk = None
         scores = (parts_of(q[None])[0][:, None, :] * centres).sum(-1).astype(np.float32)
         pairs = (scores[1::2, :, None] + scores[::2, None, :]).reshape(len(scores) // 2, -1)
         near = np.zeros(len(one), np.float32)
         for table, column in zip(pairs, codes, strict=True):
             near += table.take(column)
-        best = np.argpartition(-near, rerank)[:rerank] if len(near) > rerank else np.arange(len(near))
+        best = np.arange(len(near))
+        if len(near) > first:
+            norm = np.linalg.norm(q)
+            best = np.argpartition(-near, first)[:first]
+            # One more than the top, as one of them may be the query.
+            reached = np.partition(x[best] @ q, first - top - 1)[first - top - 1] - wrong * norm * size.max()
+            fit = near + norm * (left + wrong * (left + size)) >= reached
+            if fit.sum() > first:
+                if chunk is None:
+                    chunk = asked[k - k % CHUNK :][:CHUNK].astype(np.float32) @ single.T
+                direct = chunk[k % CHUNK]
+                sure = direct - norm * wrong * size
+                reached = max(reached, np.partition(sure, len(sure) - top - 1)[len(sure) - top - 1])
+                fit &= direct + norm * wrong * size >= reached
+            best = np.nonzero(fit)[0]
         exact = np.einsum("ij,j->i", x[best], q)
         found, least = [], -np.inf
         for i in np.argsort(-exact, kind="stable"):

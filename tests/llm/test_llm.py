@@ -198,6 +198,21 @@ def test_nearest(spark):
     assert ann.search(table.limit(0), lambda i: i % 20 == 0).count() == 0
 
 
+def test_nearest_in_a_group_of_near_copies(spark):
+    rng = np.random.default_rng(16)
+    x = rng.normal(size=(9000, 32))
+    x[3000:] = x[0] + rng.normal(size=(6000, 32)) * 0.1
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.search(table, lambda i: i % 60 == 0).collect():
+        got.setdefault(r.query_id, {})[r.rank] = r.vec_id
+    assert len(got) == 150
+    for q, found in got.items():
+        score = x @ x[q]
+        assert [found[k] for k in range(1, 21)] == [i for i in np.argsort(-score) if i != q][:20]
+
+
 def test_packing(spark, docs):
     from tokenizers import Tokenizer
 
