@@ -22,7 +22,7 @@ from .common import bounded_batches
 
 WIDTHS, FILTERS, WINDOW = (2, 3, 4), 16, 256
 #: Bounds of the training sample: rows of each language, and windows of each row.
-ROWS_PER_LANGUAGE, WINDOWS_PER_ROW, LANGUAGES = 400, 3, 64
+ROWS_PER_LANGUAGE, WINDOWS_PER_ROW = 400, 3
 EPOCHS, BATCH, RATE, SEED = 6, 64, 0.01, 5
 #: What is predicted for a text without letters.
 UNKNOWN = "und"
@@ -147,16 +147,16 @@ def fold_of(id_col: str = "doc_id") -> Column:
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> Network | None:
     """Train on a sample of the labelled rows outside the held-out fold, or None if there are none.
 
-    The sample is bounded: at most ROWS_PER_LANGUAGE rows for each of the LANGUAGES most
-    frequent labels, those whose hashed ids come first.
+    All labels are learned, from at most ROWS_PER_LANGUAGE rows each, those whose hashed ids
+    come first.
     """
     rows = docs.where(F.col(label_col).isNotNull() & (F.coalesce(fold_of(id_col), F.lit(0)) != 2) & F.col(text_col).rlike(r"\p{L}"))
-    counts = rows.groupBy(F.col(label_col).alias("label")).count().orderBy(F.desc("count"), "label").limit(LANGUAGES).collect()
+    counts = rows.groupBy(F.col(label_col).alias("label")).count().orderBy(F.desc("count"), "label").collect()
     if not counts:
         return None
-    share = F.lit(0.0)
-    for label, n in counts:
-        share = F.when(F.col(label_col) == label, min(1.0, 1.5 * ROWS_PER_LANGUAGE / n)).otherwise(share)
+    share = F
+    for label, n in counts:  # one expression, however many labels
+        share = share.when(F.col(label_col) == label, min(1.0, 1.5 * ROWS_PER_LANGUAGE / n))
     drawn = F.pmod(F.xxhash64(F.lit("sample"), id_col), F.lit(1 << 30)) / float(1 << 30)
     texts, labels = [], []
     chosen = rows.where(drawn < share).select(F.col(text_col).alias("text"), F.col(label_col).alias("label"), F.xxhash64(id_col).alias("h"))

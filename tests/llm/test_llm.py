@@ -76,6 +76,22 @@ def test_language(spark):
     assert {r.doc_id: r.lang_pred for r in a} == {i: r.lang_pred for i, r in out.items()}  # no other column matters
 
 
+def test_all_labels_are_learned(spark):
+    rows = [(3 * i + k, chr(0x4E00 + 7 * i) * 40, f"l{i:02}") for i in range(70) for k in range(3)]
+    net = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    trained = {k for i, _, k in rows if zlib.crc32(str(i).encode()) % 4 != 2}
+    assert net.labels == sorted(trained) and len(trained) > 64
+
+
+def test_language_stage_without_labels(spark):
+    import corpus_pipeline
+
+    rows = [(1, "some words", None), (2, None, None), (3, "12 34", None), (4, "other words", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {(r.doc_id, r.lang) for r in corpus_pipeline.language(spark, docs, "").collect()} == {(1, "und"), (4, "und")}
+    assert {r.doc_id for r in corpus_pipeline.language(spark, docs.withColumn("lang", F.lit("und")), "").collect()} == {1, 4}
+
+
 def brute_spans(text):
     out = []
     for m in re.finditer(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.A):
