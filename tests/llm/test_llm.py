@@ -391,6 +391,19 @@ def test_passages_of_a_hot_source(spark):
     assert {(r.source, r.slot) for r in slots.collect()} == set(sizes)
 
 
+def test_passages_whose_seeds_have_different_first_holders(spark):
+    rng = random.Random(17)
+    filler = lambda n: words(rng, n, "qrstuv").split()
+    rows = []
+    for i in range(0, 400, 10):
+        p = words(rng, 90, "abcdefghijklmnop").split()
+        rows += [(i + 1, filler(9) + p[:45] + filler(20)), (i + 2, filler(30) + p[45:]), (i + 5, filler(12) + p + filler(7))]
+        rows += [(i + 9, filler(70) + p + filler(40) + p)]  # the second time, too
+    out = chaining.passages(documents(spark, [(i, " ".join(t)) for i, t in rows])).collect()
+    found = {(r.doc_id, r.source_doc_id, r.start_word) for r in out if r.end_word - r.start_word == 90 and r.edits == 0}
+    assert found == {(i + 9, i + 5, at) for i in range(0, 400, 10) for at in (70, 200)} and len(out) == len(found)
+
+
 def test_chain_is_the_best():
     rng = random.Random(12)
     for _ in range(30):
