@@ -172,7 +172,16 @@ _ORDER_HTML = (
 
 @query("SELECT o_custkey AS custkey, o_orderkey::VARCHAR AS key, o_orderstatus AS status, o_orderpriority AS priority FROM orders WHERE o_orderkey % 10 = 0")
 def table_roundtrip(spark, sf_dir):
-    made = table(spark, sf_dir, "orders").where("o_orderkey % 10 = 0").groupBy("o_custkey").agg(F.expr(_ORDER_HTML).alias("html"))
+    return _order_tables(table(spark, sf_dir, "orders").where("o_orderkey % 10 = 0"))
+
+
+@query("SELECT o_custkey AS custkey, o_orderkey::VARCHAR AS key, o_orderstatus AS status, o_orderpriority AS priority FROM orders")
+def table_roundtrip_whole(spark, sf_dir):
+    return _order_tables(table(spark, sf_dir, "orders"))
+
+
+def _order_tables(orders):
+    made = orders.groupBy("o_custkey").agg(F.expr(_ORDER_HTML).alias("html"))
     found = extract.tables(made, id_col="o_custkey", url_col=None)
     return found.select(F.col("o_custkey").alias("custkey"), F.col("record.key"), F.col("record.status"), F.col("record.col_2").alias("priority"))
 
@@ -222,7 +231,16 @@ def meta_roundtrip(spark, sf_dir):
 
 @query("SELECT event_id, json_extract_string(props, '$.k') AS k FROM events WHERE event_id % 5 = 0 AND props IS NOT NULL")
 def embedded_json(spark, sf_dir):
-    made = table(spark, sf_dir, "events").where("event_id % 5 = 0 AND props IS NOT NULL").select("event_id", F.concat(F.lit("<script type='application/json'>"), "props", F.lit("</script>")).alias("html"))
+    return _event_json(table(spark, sf_dir, "events").where("event_id % 5 = 0"))
+
+
+@query("SELECT event_id, json_extract_string(props, '$.k') AS k FROM events WHERE props IS NOT NULL")
+def embedded_json_whole(spark, sf_dir):
+    return _event_json(table(spark, sf_dir, "events"))
+
+
+def _event_json(events):
+    made = events.where("props IS NOT NULL").select("event_id", F.concat(F.lit("<script type='application/json'>"), "props", F.lit("</script>")).alias("html"))
     found = extract.embedded_json(made, id_col="event_id", url_col=None)
     return found.select("event_id", F.get_json_object("json", "$.k").alias("k"))
 

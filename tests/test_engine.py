@@ -33,6 +33,14 @@ def test_against_sql(spark, name):
     assert rows(got, columns) == want
 
 
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
+def test_whole_roundtrips_leave_no_row_out(spark):
+    read = lambda name: spark.read.parquet(f"{DATA}/{name}.parquet")
+    run = lambda name: catalog.queries()[name](spark, DATA)
+    assert run("table_roundtrip_whole").count() == read("orders").count()
+    assert run("embedded_json_whole").count() == read("events").where("props is not null").count()
+
+
 def test_plans_and_trees_agree(spark):
     """Selectors as plans over nodes select what the matcher selects on trees."""
     from pagewright.functions.htmltree import parse
