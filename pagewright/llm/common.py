@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -13,9 +15,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bounded_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Keep Arrow batches small, so that very long texts don't fill a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def bounded_batches(spark: SparkSession, most: int = 8 << 20) -> None:
+    """Bound Arrow batches by bytes, so that very long texts don't fill a Python worker.
+
+    The session's setting is only ever made smaller: plans are made now and run later.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key))
+    if now <= 0 or now > most:
+        spark.conf.set(key, str(most))
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -26,6 +34,8 @@ def shared_folder(spark: SparkSession) -> str:
     context = spark.sparkContext
     if not context.getCheckpointDir():
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="pagewright-checkpoints-"))
     return context.getCheckpointDir()
 
@@ -44,3 +54,40 @@ def utf8(column) -> "F.Column":
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Deal rows by ``keys`` into as many partitions as the session shuffles with."""
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names like ``names`` that ``df`` doesn't have, in any case of the letters."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        own = f"__{name}"
+        while own.lower() in taken:
+            own += "_"
+        taken.add(own.lower())
+        out.append(own)
+    return out
+
+
+def by_column(df: DataFrame, column: str, make: Callable[[], Callable[[list], list]], fields: str) -> DataFrame:
+    """``df`` with ``column`` replaced by ``fields`` (DDL), computed from its values.
+
+    ``make`` is called once in each task; what it returns gets the values of a batch and
+    returns a list for each field. All other columns pass through Arrow as they are, so
+    that ids of any size stay exact beside nulls.
+    """
+    bounded_batches(df.sparkSession)
+    kept = [c for c in df.columns if c != column]
+    made = StructType.fromDDL(fields)
+    schema = StructType([StructField(f.name, f.dataType) for f in [*df.select(*kept).schema, *made]])
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_type
+
+        use, kinds = make(), [to_arrow_type(f.dataType) for f in made]
+        for batch in batches:
+            values = use(batch.column(column).to_pylist())
+            arrays = [pa.array(v, k) for v, k in zip(values, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *arrays], names=schema.names)
+
+    return df.mapInArrow(run, schema)

@@ -14,15 +14,14 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import by_column, fresh
 
 WIDTHS, FILTERS, WINDOW = (2, 3, 4), 16, 256
-#: Bounds of the training sample: rows of each language, and windows of each row.
-ROWS_PER_LANGUAGE, WINDOWS_PER_ROW = 400, 3
+#: Bounds of the training sample: rows of each language, windows of each row, and windows of the stretch of a row that these are drawn from.
+ROWS_PER_LANGUAGE, WINDOWS_PER_ROW, STRETCH = 400, 3, 8
 EPOCHS, BATCH, RATE, SEED = 6, 64, 0.01, 5
 #: What is predicted for a text without letters.
 UNKNOWN = "und"
@@ -141,6 +140,7 @@ class Scorer:
 
 
 def fold_of(id_col: str = "doc_id") -> Column:
+    """The fold of a row, by its id; null for a null id."""
     return F.crc32(F.encode(F.col(id_col).cast("string"), "UTF-8")) % 4
 
 
@@ -161,7 +161,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_c
     texts, labels = [], []
     chosen = rows.where(drawn < share).select(F.col(text_col).alias("text"), F.col(label_col).alias("label"), F.xxhash64(id_col).alias("h"))
     # For training only, a stretch of each text from a hashed place: a few windows are drawn from it.
-    span = 8 * WINDOW
+    span = STRETCH * WINDOW
     begin = F.pmod("h", F.greatest(F.length("text") - span, F.lit(1))).cast("int") + 1
     cut_text = F.call_function("substring", F.col("text"), begin, F.lit(span))
     taken: dict[str, int] = {}
@@ -181,23 +181,18 @@ def predict(docs: DataFrame, net: Network | None, text_col: str = "text", out: t
     UNKNOWN with score 0, and so do all texts if there was nothing to train on. Columns
     of ``docs`` with the names in ``out`` are replaced.
     """
-    bounded_batches(docs.sparkSession)
     docs = docs.drop(*out)
+    (own,) = fresh(docs, "text")
 
-    def run(batches):
-        import pyarrow as pa
-
+    def make():
         scorer = Scorer(net) if net else None
-        for batch in batches:
-            texts, letters = batch.column("__text").to_pylist(), batch.column("__letters").to_pylist()
-            said = [scorer.text(t) if scorer and ok else (UNKNOWN, 0.0) for t, ok in zip(texts, letters, strict=True)]
-            kept = batch.drop_columns(["__text", "__letters"])
-            columns = [*kept.columns, pa.array([s[0] for s in said], pa.string()), pa.array([s[1] for s in said], pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns, names=[*kept.schema.names, *out])
+
+        def of(batch: list) -> list[list]:
+            said = [scorer.text(t) if scorer and t is not None else (UNKNOWN, 0.0) for t in batch]
+            return [[s[0] for s in said], [s[1] for s in said]]
+
+        return of
 
     text = F.col(text_col)
-    fed = docs.withColumns({"__text": text, "__letters": F.coalesce(text.rlike(r"\p{L}"), F.lit(False))})
-    schema = docs.select("*", F.lit("").alias(out[0]), F.lit(0.0).alias(out[1])).schema
-    for field in schema:
-        field.nullable = True
-    return fed.mapInArrow(run, schema)
+    fed = docs.withColumn(own, F.when(text.rlike(r"\p{L}"), text))
+    return by_column(fed, own, make, f"`{out[0]}` string, `{out[1]}` double")

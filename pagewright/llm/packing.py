@@ -19,11 +19,11 @@ from bisect import bisect_right, insort
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .bpe import json_vocabulary
+from .bpe import json_vocabulary, ranked_by_id
 from .common import bounded_batches
 
 #: Context sizes; the largest is the sequence length.
@@ -47,6 +47,8 @@ def tokenizer(path: str):
     import tiktoken
 
     ranks, added = json_vocabulary(path)
+    if not ranked_by_id(path):
+        raise ValueError("the vocabulary's merges aren't in the order of their tokens' ids")
     coder = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
     marks = tuple(added)
 
@@ -139,15 +141,18 @@ def pack(docs: DataFrame, id_col: str, text_col: str, path: str, end_id: int = 1
     kind = texts.schema["id"].dataType.simpleString()
 
     def run(batches):
+        import pyarrow as pa
         from pyspark import TaskContext
+        from pyspark.sql.pandas.types import to_arrow_schema
 
+        names = to_arrow_schema(schema)
         encode = tokenizer(path)
         packer = Packer(tiers, TaskContext.get().partitionId() << 32)
         held: dict[int, tuple] = {}  # documents with pieces to come: id, ids, tokens that are left
         ready: list[tuple[int, list[tuple]]] = []
         count = 0
 
-        def emit() -> pd.DataFrame:
+        def emit() -> pa.RecordBatch:
             rows = []
             groups = step_groups(ready, STEP)
             for (size, pieces), group in zip(ready, groups, strict=True):
@@ -165,14 +170,13 @@ def pack(docs: DataFrame, id_col: str, text_col: str, path: str, end_id: int = 1
                 packer.next += 1
             packer.group += max(groups, default=-1) + 1
             ready.clear()
-            columns = ["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "sequence_tokens", "tier", "step_group"]
-            out = pd.DataFrame(rows, columns=columns)
-            return out.astype({"id": object})
+            columns = list(zip(*rows, strict=True)) or [()] * len(names)
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, names, strict=True)], schema=names)
 
         for batch in batches:
-            for name, text in zip(batch["id"], batch["text"], strict=True):
+            for name, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 ids = np.append(encode(text or ""), np.uint32(end_id)).astype("<u4")
-                held[count] = (None if pd.isna(name) else name, ids, len(ids))
+                held[count] = (name, ids, len(ids))
                 ready.extend(packer.add(count, len(ids)))
                 count += 1
                 if packer.tokens >= POOL:
@@ -182,4 +186,5 @@ def pack(docs: DataFrame, id_col: str, text_col: str, path: str, end_id: int = 1
         ready.extend(packer.windows(flush=True))
         yield emit()
 
-    return texts.mapInPandas(run, PIECES.format(id="id", kind=kind)).withColumnRenamed("id", id_col)
+    schema = StructType.fromDDL(PIECES.format(id="id", kind=kind))
+    return texts.mapInArrow(run, schema).withColumnRenamed("id", id_col)

@@ -22,11 +22,10 @@ import zlib
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import bounded_batches, by_column
 
 #: Fixed patterns and least lengths of the base kinds, in the order of the report.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -321,26 +320,21 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     A null text counts as empty and has no spans. Offsets are code points, ends are
     exclusive. Rows that repeat an id keep their own rows. An empty table gives no rows.
     """
-    bounded_batches(docs.sparkSession)
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    kind = texts.schema["id"].dataType.simpleString()
+    texts = docs.select(F.col(id_col), F.col(text_col).alias("a text"))
     model = train()
 
-    def run(batches):
+    def make():
         scanner = Scanner(*model)
-        for batch in batches:
-            found = [scanner.spans(t or "") for t in batch["text"]]
+
+        def of(batch: list) -> list[list]:
+            found = [scanner.spans(t or "") for t in batch]
             base = [[s for s in f if s[1] < 3] for f in found]
-            count = lambda k: [sum(s[1] == k for s in b) for b in base]  # noqa: B023, E731
-            yield pd.DataFrame(
-                {
-                    "id": batch["id"], "n_assign": count(0), "n_access": count(1), "n_hex": count(2),
-                    "base_sha256": [hashlib.sha256(joined(b).encode()).hexdigest() for b in base], "spans": [joined(f) for f in found],
-                }
-            )
-
-    out = texts.mapInPandas(run, f"id {kind}, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string")
-    return out.withColumnRenamed("id", id_col)
+            counts = [[sum(s[1] == k for s in b) for b in base] for k in range(3)]
+            return [*counts, [hashlib.sha256(joined(b).encode()).hexdigest() for b in base], [joined(f) for f in found]]
+
+        return of
+
+    return by_column(texts, "a text", make, "n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string")
 
 
 def redact(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:

@@ -5,10 +5,11 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import by_column
+
 
 def usable(table: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """Return (id, digest binary, vector binary): the vector as little-endian doubles.
@@ -16,20 +17,21 @@ def usable(table: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     Vector and digest are null for a vector that is null, empty or zero, or holds null
     or non-finite components. Equal vectors have equal digests (-0.0 counts as 0.0).
     """
-    rows = table.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("vector"))
-    kind = rows.schema["id"].dataType.simpleString()
+    rows = table.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("values"))
 
-    def run(batches):
-        for batch in batches:
+    def make():
+        def of(batch: list) -> list[list]:
             vectors, digests = [], []
-            for v in batch["vector"]:
-                x = None if v is None else np.asarray(v, dtype="<f8") + 0.0
+            for v in batch:
+                x = None if v is None else np.array(v, dtype="<f8") + 0.0
                 fit = x is not None and len(x) and np.isfinite(x).all() and x.any()
                 vectors.append(x.tobytes() if fit else None)
                 digests.append(hashlib.md5(vectors[-1]).digest() if fit else None)
-            yield pd.DataFrame({"id": batch["id"], "digest": digests, "vector": vectors})
+            return [digests, vectors]
+
+        return of
 
-    return rows.mapInPandas(run, f"id {kind}, digest binary, vector binary")
+    return by_column(rows, "values", make, "digest binary, vector binary")
 
 
 def matrix(vectors, dims: int | None = None) -> np.ndarray:
