@@ -9,7 +9,8 @@ and the most that its residual can add, reaches the last of the ``top`` of those
 found is exact, however little the codes tell near copies apart.
 
 Queries and vectors meet in blocks: each pair of a query block and a vector block is one
-task's work, of a bounded size.
+task's work, of a bounded size. Vectors of different lengths never meet; centres are those
+of the most common length, and others are scored without codes.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ SUB, CENTRES = 2, 16
 #: Vectors of the training sample, threshold of the score-aware weight, and sweeps.
 SAMPLE, SCORE_T, SWEEPS, ROUNDS = 4096, 0.2, 2, 6
 #: Rows of a block of queries and of a block of vectors, and vectors reranked first in each.
-QUERY_BLOCK, VECTOR_BLOCK, RERANK = 1024, 16384, 256
+QUERY_BLOCK, VECTOR_BLOCK, RERANK = 4096, 16384, 256
 #: Queries that are multiplied with a block of vectors at once.
 CHUNK = 64
 
@@ -94,37 +95,39 @@ def residuals(x: np.ndarray, codes: np.ndarray, centres: np.ndarray) -> np.ndarr
 
 
 def scan(queries: pd.DataFrame, rows: pd.DataFrame, centres: np.ndarray, top: int, rerank: int) -> pd.DataFrame:
-    """The ``top`` best of a block of vectors for each query of a block.
+    """The ``top`` best of a block of vectors for each query of a block, all of one length.
 
-    Equal vectors are scanned once; each brings its smallest ids, ``top`` + 1 at most, as
-    one of them may be the query.
+    Equal vectors are scanned once; each brings its rows of the smallest ids, ``top`` + 1 at
+    most, as one of them may be the query.
     """
-    rows = rows.sort_values("id", kind="stable")
+    rows = rows.sort_values(["id", "row"], kind="stable")
     one = rows.drop_duplicates("digest")
     members: list[list] = [[] for _ in range(len(one))]
     place = {d: i for i, d in enumerate(one["digest"])}
-    for d, i in zip(rows["digest"], rows["id"].tolist(), strict=True):
+    for d, i, r in zip(rows["digest"], rows["id"].tolist(), rows["row"].tolist(), strict=True):
         if len(members[place[d]]) <= top:
-            members[place[d]].append(i)
+            members[place[d]].append((i, r))
     x = matrix(one["vector"])
-    codes = np.frombuffer(b"".join(one["codes"]), np.uint8).reshape(len(one), -1).astype(np.intp)
-    codes = np.ascontiguousarray(codes.T)
-    single, size, left = x.astype(np.float32), np.linalg.norm(x, axis=1), residuals(x, codes, centres)
-    # What sums of so many terms in single precision can be wrong by, of the norms' product.
-    wrong = (x.shape[1] + 8) * 2.0**-22
     first = max(rerank, top + 1)
+    coded = len(one) > first and one["codes"].notna().all()
+    if coded:
+        codes = np.frombuffer(b"".join(one["codes"]), np.uint8).reshape(len(one), -1).astype(np.intp)
+        codes = np.ascontiguousarray(codes.T)
+        single, size, left = x.astype(np.float32), np.linalg.norm(x, axis=1), residuals(x, codes, centres)
+        # What sums of so many terms in single precision can be wrong by, of the norms' product.
+        wrong = (x.shape[1] + 8) * 2.0**-22
     asked, chunk = matrix(queries["vector"], x.shape[1]), None
     out = []
-    for k, (query, q) in enumerate(zip(queries["id"], asked, strict=True)):
+    for k, (query, own, q) in enumerate(zip(queries["id"], queries["row"], asked, strict=True)):
         if k % CHUNK == 0:
             chunk = None
-        scores = (parts_of(q[None])[0][:, None, :] * centres).sum(-1).astype(np.float32)
-        pairs = (scores[1::2, :, None] + scores[::2, None, :]).reshape(len(scores) // 2, -1)
-        near = np.zeros(len(one), np.float32)
-        for table, column in zip(pairs, codes, strict=True):
-            near += table.take(column)
-        best = np.arange(len(near))
-        if len(near) > first:
+        best = np.arange(len(one))
+        if coded:
+            scores = (parts_of(q[None])[0][:, None, :] * centres).sum(-1).astype(np.float32)
+            pairs = (scores[1::2, :, None] + scores[::2, None, :]).reshape(len(scores) // 2, -1)
+            near = np.zeros(len(one), np.float32)
+            for table, column in zip(pairs, codes, strict=True):
+                near += table.take(column)
             norm = np.linalg.norm(q)
             best = np.argpartition(-near, first)[:first]
             # One more than the top, as one of them may be the query.
@@ -143,51 +146,55 @@ def scan(queries: pd.DataFrame, rows: pd.DataFrame, centres: np.ndarray, top: in
         for i in np.argsort(-exact, kind="stable"):
             if len(found) >= top and exact[i] < least:
                 break
-            found += [(exact[i], v) for v in members[best[i]] if v != query]
+            found += [(exact[i], v) for v, r in members[best[i]] if r != own]
             least = exact[i]
         found.sort(key=lambda f: (-f[0], f[1]))
-        out += [(query, v, s) for s, v in found[:top]]
-    return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
+        out += [(query, own, v, s) for s, v in found[:top]]
+    return pd.DataFrame(out, columns=["query_id", "query_row", "vec_id", "score"])
 
 
 def search(table: DataFrame, is_query, id_col: str = "vec_id", vector_col: str = "embedding", top: int = 20, rerank: int = RERANK) -> DataFrame:
     """Return (query_id, rank, vec_id, score) of the ``top`` nearest found for each query.
 
-    Queries are the rows where ``is_query`` holds; candidates are all other rows. Ties go
-    to the smaller id. Rows that repeat an id count once (the one whose vector sorts
-    first). Vectors that are null, zero or hold null or non-finite components, and rows
-    without an id, take no part, and neither do vectors of other lengths than the most
-    common one. An empty table gives no rows.
+    Queries are the rows where ``is_query`` holds; candidates are all other rows of the same
+    length. Ties go to the smaller id. Rows that repeat an id are queries and candidates of
+    their own. Vectors that are null, zero or hold null or non-finite components, and rows
+    without an id, take no part. An empty table gives no rows.
     """
     rows = usable(table, id_col, vector_col).where("digest is not null and id is not null")
-    rows = cut(rows.groupBy("id").agg(F.min(F.struct("vector", "digest")).alias("v")).select("id", "v.*"))
-    lengths = rows.groupBy(F.octet_length("vector").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
-    dims = lengths[0]["n"] // 8 if lengths else 1
-    rows = rows.where(F.octet_length("vector") == dims * 8)
-    sample = matrix([r[0] for r in rows.orderBy(F.xxhash64("id"), "id").select("vector").limit(SAMPLE).collect()], dims)
+    rows = cut(rows.withColumn("dims", (F.octet_length("vector") / 8).cast("int")).withColumn("row", F.monotonically_increasing_id()))
+    counts = rows.groupBy("dims").count()
+    lengths = counts.orderBy(F.desc("count"), "dims").limit(1).collect()
+    dims = lengths[0]["dims"] if lengths else 1
+    common = rows.where(F.col("dims") == dims)
+    sample = matrix([r[0] for r in common.orderBy(F.xxhash64("id", "row"), "id", "row").select("vector").limit(SAMPLE).collect()], dims)
     weight = eta(dims)
     centres = train(sample, weight) if len(sample) else np.zeros((1, CENTRES, SUB))
 
     def coded(batches):
         for batch in batches:
-            codes = code(matrix(batch["vector"]), centres, weight) if len(batch) else np.empty((0, 2), np.uint8)
-            packed = codes[:, 1::2] << 4 | codes[:, ::2]
-            yield batch.assign(codes=[c.tobytes() for c in packed])
+            fit = (batch["dims"] == dims).to_numpy()
+            codes = np.full(len(batch), None, object)
+            if fit.any():
+                own = code(matrix(batch["vector"][fit]), centres, weight)
+                codes[fit] = [c.tobytes() for c in own[:, 1::2] << 4 | own[:, ::2]]
+            yield batch.assign(codes=codes)
 
     kind = rows.schema["id"].dataType.simpleString()
-    index = rows.mapInPandas(coded, f"id {kind}, vector binary, digest binary, codes binary")
-    queries = rows.where(is_query(F.col("id"))).select("id", "vector")
+    index = rows.mapInPandas(coded, f"id {kind}, digest binary, vector binary, dims int, row bigint, codes binary")
+    queries = rows.where(is_query(F.col("id"))).select("id", "row", "vector", "dims")
     blocks = max(1, -(-rows.count() // VECTOR_BLOCK))
     query_blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    block, query_block = F.pmod(F.xxhash64("id"), F.lit(blocks)), F.pmod(F.xxhash64("id"), F.lit(query_blocks))
+    block, query_block = F.pmod(F.xxhash64("row"), F.lit(blocks)), F.pmod(F.xxhash64("row"), F.lit(query_blocks))
     each = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))
     left = queries.select("*", query_block.alias("qb"), each(blocks).alias("vb"))
     right = index.select("*", block.alias("vb"), each(query_blocks).alias("qb"))
-    found = (
-        left.groupBy("qb", "vb")
-        .cogroup(right.groupBy("qb", "vb"))
-        .applyInPandas(lambda q, v: scan(q, v, centres, top, rerank), f"query_id {kind}, vec_id {kind}, score double")
-    )
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    keys = ["dims", "qb", "vb"]
+
+    def met(q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
+        return scan(q, v, centres, top, rerank) if len(q) and len(v) else scan(q.iloc[:0], v.iloc[:0], centres, top, rerank)
+
+    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(met, f"query_id {kind}, query_row bigint, vec_id {kind}, score double")
+    best = Window.partitionBy("query_id", "query_row").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top)
     return ranked.select("query_id", "rank", "vec_id", "score")
