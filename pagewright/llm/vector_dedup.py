@@ -126,7 +126,8 @@ def near_pairs(distinct: DataFrame, threshold: float, passes: int | None = None,
     columns = "digest binary, vector binary, pass int, dims int, key bigint"
     keyed = distinct.select("digest", "vector").mapInPandas(hashed, columns)
     parts = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    order = ("pass", "dims", "key", "digest")
+    # Rows of equal keys lie in another order in each pass, so that they meet others there.
+    order = ("pass", "dims", "key", F.xxhash64("digest", "pass"))
     ordered = cut(keyed.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInPandas(numbered, columns + ", part int, place bigint"))
     # One count for each partition, whatever the number of rows.
     before, offsets = 0, {}
