@@ -4,8 +4,8 @@ Documents with equal texts form a group, which has a size in bytes, tokens and r
 group goes to the shard whose residual capacity has the largest dot product with the
 group's size, all three as shares of the totals, so they are balanced jointly.
 
-A group of more than half a shard in any of the three is split by its documents' ids
-into parts of about a quarter; there are at most 6 x shards such groups. The heavy parts
+A group of more than a shard in any of the three is split by its documents' numbers
+into parts of about a quarter; there are at most 3 x shards such groups. The heavy parts
 and groups (more than 1/``FINE`` of a shard, so at most 3 x shards x ``FINE`` of them)
 are placed first, on the driver. All others are dealt to lots of a few thousand, and
 each lot is packed on its own into its share of what is left of each shard. Texts never
@@ -26,7 +26,8 @@ FINE, LOT = 64, 10_000
 #: Bytes that each document counts beside its text.
 OVERHEAD = 16
 SIZES = ("bytes", "tokens", "rows")
-#: Weights of the three in the dot product: bytes come first, as the shards' law is on them.
+#: Weights of the three in the dot product. Where all three can be met, as in ordinary texts, any weights do;
+#: where they can't (many short copies), bytes come first, as the shards' law is on them.
 WEIGHTS = np.array([64.0, 1.0, 1.0])
 
 
@@ -61,16 +62,17 @@ def shard(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: s
     shard's rows from 0 without gaps. Rows that repeat an id, and null ids, are rows of
     their own. An empty table gives no rows.
     """
-    rows = cut(sizes(docs, id_col, text_col))
+    # The number of a row is written with it, and so stays whatever is computed again.
+    rows = cut(sizes(docs, id_col, text_col).withColumn("number", F.monotonically_increasing_id()))
     groups = rows.groupBy("key").agg(F.sum("bytes").alias("bytes"), F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("rows"))
     total = rows.agg(F.sum("bytes"), F.sum("tokens"), F.count(F.lit(1))).first()
     capacity = np.array([max(1, n or 0) for n in total], float) / shards
     limit = capacity / FINE
     share = F.greatest(*[F.col(c) / float(n) for c, n in zip(SIZES, limit, strict=True)])
-    # At most 2 * shards groups can be over half a shard in each of the three sizes.
-    hot = groups.where(share > FINE / 2).select("key", F.ceil(share * 4 / FINE).cast("int").alias("parts"))
+    # At most ``shards`` groups can be over a shard in each of the three sizes.
+    hot = groups.where(share > FINE).select("key", F.ceil(share * 4 / FINE).cast("int").alias("parts"))
     split = rows.join(F.broadcast(hot), "key", "left").withColumn(
-        "part", F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("id", F.lit(1)), F.col("parts"))).cast("int")
+        "part", F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("number", F.lit(1)), F.col("parts"))).cast("int")
     )
     units = cut(
         split.groupBy("key", "part").agg(F.sum("bytes").alias("bytes"), F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("rows"))
@@ -93,20 +95,20 @@ def shard(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: s
     if heavy:
         spark = docs.sparkSession
         placed = placed.union(spark.createDataFrame([(u["key"], u["part"], int(h)) for u, h in zip(heavy, homes, strict=True)], placed.schema))
-    assigned = split.select("id", "bytes", "tokens", "crc", "key", "part").join(placed, ["key", "part"])
+    assigned = split.select("id", "bytes", "tokens", "crc", "key", "part", "number").join(placed, ["key", "part"])
     return slots(assigned).select(
         F.col("id").alias(id_col), F.col("bytes").alias("size"), F.col("crc").alias("text_crc32"), "shard", "slot", "tokens"
     )
 
 
 def slots(assigned: DataFrame) -> DataFrame:
-    """Add ``slot``: numbers within ``shard`` from 0 without gaps, by rows' order in small bins."""
+    """Add ``slot``: numbers within ``shard`` from 0 without gaps, by rows' numbers in small bins."""
     bins = max(1, int(assigned.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    binned = cut(assigned.withColumn("bin", F.pmod(F.xxhash64("id", "key"), F.lit(bins)).cast("int")))
+    binned = cut(assigned.withColumn("bin", F.pmod(F.xxhash64("number"), F.lit(bins)).cast("int")))
     counts = binned.groupBy("shard", "bin").count()
     before = Window.partitionBy("shard").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     # One row for each shard and bin: bounded by the shards and the session's partitions.
     starts = counts.select("shard", "bin", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start"))
-    within = Window.partitionBy("shard", "bin").orderBy("id", "key", "crc")
+    within = Window.partitionBy("shard", "bin").orderBy("number")
     numbered = binned.withColumn("own", F.row_number().over(within) - 1)
     return numbered.join(F.broadcast(starts), ["shard", "bin"]).withColumn("slot", (F.col("start") + F.col("own")).cast("bigint"))
