@@ -36,8 +36,18 @@ def json_vocabulary(path: str) -> tuple[dict[bytes, int], dict[str, int]]:
     return {bytes(map(stand.__getitem__, t)): i for t, i in said["model"]["vocab"].items() if t not in added}, added
 
 
-def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """Ids of one piece by ranked merges, lowest rank first, then leftmost; O(n log n)."""
+@lru_cache(2)
+def ranked_by_id(path: str) -> bool:
+    """Whether a tokenizer's JSON file lists its merges in the order of the ids they make, so that ids serve as ranks."""
+    with open(path, encoding="utf-8") as file:
+        model = json.load(file)["model"]
+    vocab = model["vocab"]
+    made = [vocab["".join(m) if isinstance(m, list) else m.replace(" ", "", 1)] for m in model["merges"]]
+    return all(a < b for a, b in zip(made, made[1:], strict=False))
+
+
+def merge(piece: bytes, ranks: dict[bytes, int], below: float = float("inf")) -> list[int]:
+    """Ids of one piece by ranked merges, lowest rank first, then leftmost; O(n log n). Only ranks ``below`` are merged."""
     end = len(piece)
     after = list(range(1, end + 1))  # where the part that starts here ends
     before = list(range(-1, end))
@@ -48,7 +58,7 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
         if after[at] < end:
             stop = after[after[at]]
             rank = ranks.get(piece[at:stop])
-            if rank is not None:
+            if rank is not None and rank < below:
                 heapq.heappush(heap, (rank, at, stop))
 
     for i in range(end - 1):

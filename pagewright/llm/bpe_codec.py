@@ -1,7 +1,7 @@
 """Byte-level BPE encoding and decoding.
 
 The ranked merges run inside Spark: a partition's distinct words go through a fold
-of higher-order functions over arrays of token ids, with the rank table as a literal.
+of higher-order functions over arrays of bytes, with the rank map as a literal.
 Python only splits texts into words, refers to each distinct word by number, and
 concatenates the binary pieces. Nothing is shuffled: a word is folded once for each
 input partition, and the most frequent words of a sample are folded once for all.
@@ -14,26 +14,28 @@ from __future__ import annotations
 
 import json
 from collections import Counter
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from .bpe import merge, rank_file
-from .common import bounded_batches
+from .common import bounded_batches, by_column
 
 #: Words of more bytes than this are merged outside the fold.
 LONG = 96
-#: A worker starts a new dictionary at this many distinct words, which bounds its memory.
-DICTIONARY = 400_000
+#: A worker starts a new dictionary at this many distinct words, and an Arrow batch has so many bytes of text: both bound its memory.
+DICTIONARY, BATCH = 400_000, 2 << 20
 #: Documents of the sample from which frequent words come, and how many words are taken.
 #: The sample only saves work: ids don't depend on it.
 SAMPLE_DOCS, SAMPLE_WORDS = 16_000, 200_000
-#: Slots of each of the rank map's two tables; bits of a token id, and what stands for no rank.
-SLOTS, ID_BITS = 1 << 18, 17
-NONE = 1 << 20
+#: Slots of each of the rank map's two tables; bits of a token id, and what stands for no rank and no id.
+SLOTS, ID_BITS = 1 << 16, 17
+NONE, NO_ID, EMPTY = 1 << 20, (1 << ID_BITS) - 1, 1 << 62
 MIX = (0x1E3779B1, 0x15EBCA77)
 
 
@@ -43,84 +45,87 @@ def slot(key: int, which: int) -> int:
 
 @lru_cache(2)
 def pair_tables(path: str) -> tuple[list[int], list[int], list[int]]:
-    """Ids of single bytes, and the rank map: pairs of ids whose bytes together are a token.
+    """Of two bytes, the first one's id below the pair's rank; and the rank map: pairs of ids that are merged into a token.
 
-    As Spark looks the keys of a map up one after another, the map is two tables: each
-    pair is in its slot of one or the other (cuckoo hashing), next to its rank. An entry
-    is the left id, the right id and the rank, from the high bits to the low ones.
+    A token is only ever merged from one pair: what is left of its bytes after all merges
+    of lower rank. As Spark looks the keys of a map up one after another, the map is two
+    tables: each pair is in its slot of one or the other (cuckoo hashing), next to its
+    rank. An entry is the left id, the right id and the rank, from the high bits to the low ones.
     """
     ranks = rank_file(path)
-    tables: tuple[list[int], list[int]] = ([-1] * SLOTS, [-1] * SLOTS)
+    if max(ranks.values()) >= NO_ID:
+        raise ValueError("the vocabulary has more ids than the rank map's entries hold")
+    last: dict[tuple[int, int], int] = {}
     for token, rank in ranks.items():
-        for i in range(1, len(token)):
-            a, b = ranks.get(token[:i]), ranks.get(token[i:])
-            if a is None or b is None:
-                continue
-            entry, which = ((a << ID_BITS) | b) << ID_BITS | rank, 0
-            for _ in range(500):
-                at = slot(entry >> ID_BITS, which)
-                entry, tables[which][at] = tables[which][at], entry
-                if entry < 0:
-                    break
-                which = 1 - which
-            else:
-                raise ValueError("the rank map's tables are too small for this vocabulary")
-    return [ranks[bytes([b])] for b in range(256)], *tables
+        if len(token) > 1:
+            parts = merge(token, ranks, below=rank)
+            if len(parts) == 2:  # else no text has this token
+                last[parts[0], parts[1]] = rank
+    tables: tuple[list[int], list[int]] = ([EMPTY] * SLOTS, [EMPTY] * SLOTS)
+    for (a, b), rank in last.items():
+        entry, which = ((a << ID_BITS) | b) << ID_BITS | rank, 0
+        for _ in range(500):
+            at = slot(entry >> ID_BITS, which)
+            entry, tables[which][at] = tables[which][at], entry
+            if entry == EMPTY:
+                break
+            which = 1 - which
+        else:
+            raise ValueError("the rank map's tables are too small for this vocabulary")
+    of_byte = [ranks[bytes([b])] for b in range(256)]
+    # Column 256 stands for the end of the word.
+    pairs = [last.get((a, b), NONE) << ID_BITS | a for a in of_byte for b in [*of_byte, NO_ID]]
+    return pairs, *tables
 
 
 def fold_all(words: Column, path: str) -> Column:
-    """Token ids of each word (binary) of an array. The tables are bound once, as literals."""
-    literal = lambda x, kind: F.from_json(F.lit(json.dumps(x, separators=(",", ":"))), f"array<{kind}>")
-    of_byte, first, second = pair_tables(path)
-    tables = F.struct(literal(first, "bigint").alias("first"), literal(second, "bigint").alias("second"), literal(of_byte, "bigint").alias("of_byte"))
+    """Token ids of each word (array of bytes) of an array. The tables are bound once, as literals."""
+    literal = lambda x: F.from_json(F.lit(json.dumps(x, separators=(",", ":"))), "array<bigint>")
+    pairs, first, second = pair_tables(path)
+    tables = F.struct(literal(pairs).alias("pairs"), literal(first).alias("first"), literal(second).alias("second"))
     return F.transform(F.array(tables), lambda t: F.transform(words, lambda w: fold(w, t)))[0]
 
 
 def fold(word: Column, tables: Column) -> Column:
-    """Token ids of ``word`` as array<int>, by ranked merges.
+    """Token ids of ``word`` (array of bytes) as array<int>, by ranked merges.
 
     The state is one array: each part's id, below the rank of the part with the one after
     it. Its minimum is thus the pair to merge, the first place of it the leftmost such
     pair, and its high bits the merged token's id. A merge looks up the two pairs it makes.
+    A part without an id stands at either end, so that every pair has a neighbour.
     """
     call = F.call_function
-    low = F.lit((1 << ID_BITS) - 1).cast("bigint")
-    none = F.lit(NONE).cast("bigint")
-    right = F.shiftright
-
-    def rank(a: Column, b: Column) -> Column:
-        key = F.shiftleft(a, ID_BITS).bitwiseOR(b)
-
-        def entry(which: int) -> Column:
-            at = right(key * F.lit(MIX[which]).cast("bigint"), 28).bitwiseAND(F.lit(SLOTS - 1).cast("bigint"))
-            return F.get(tables["first" if which == 0 else "second"], at.cast("int"))
-
-        other = F.when(right(entry(1), ID_BITS) == key, entry(1).bitwiseAND(low)).otherwise(none)
-        return F.when(right(entry(0), ID_BITS) == key, entry(0).bitwiseAND(low)).otherwise(other)
-
-    part = lambda a, b: F.shiftleft(F.when(b.isNull(), none).otherwise(rank(a, b)), ID_BITS).bitwiseOR(a)
-    digits, n = F.hex(word), F.octet_length(word)
-    byte = lambda i: F.get(tables["of_byte"], F.conv(call("substr", digits, i * 2 - 1, F.lit(2)), 16, 10).cast("int"))
-    parts = F.transform(F.sequence(F.lit(1), n), byte)
-    start = F.transform(F.array(parts), lambda p: F.transform(p, lambda a, i: part(a, F.get(p, i + 1))))[0]
-
-    def merge_at(s: Column, best: Column) -> Column:
-        at = call("array_position", s, best).cast("int")
-        made = right(best, ID_BITS)
-        after = F.get(s, at + 1).bitwiseAND(low)
-        before = F.get(s, at - 2).bitwiseAND(low)
-        new = F.array(part(made, after))
-        return F.concat(
-            F.when(at > 1, F.concat(F.slice(s, 1, at - 2), F.array(part(before, made)), new)).otherwise(new), F.slice(s, at + 2, F.size(s))
-        )
+    long = lambda x: F.lit(x).cast("bigint")
+    low, end = long(NO_ID), long(NONE << ID_BITS)
+    bind = lambda value, use: F.transform(F.array(value), use)[0]
+
+    def part(a: Column, b: Column) -> Column:
+        """A part by its id and the next one's: an entry and its key agree in all but the rank's bits."""
+
+        def of(key: Column) -> Column:
+            entry = lambda table, mix: F.get(tables[table], F.shiftright(key * long(mix), 28).bitwiseAND(long(SLOTS - 1)).cast("int"))
+            whole = F.shiftleft(key, ID_BITS)
+            return F.shiftleft(F.least(entry("first", MIX[0]).bitwiseXOR(whole), entry("second", MIX[1]).bitwiseXOR(whole), long(NONE)), ID_BITS)
+
+        return bind(F.shiftleft(a, ID_BITS).bitwiseOR(b), of).bitwiseOR(a)
+
+    n = F.size(word)
+    parts = F.transform(word, lambda b, i: F.get(tables["pairs"], b * 257 + F.coalesce(F.get(word, i + 1), F.lit(256))))
+    edge = F.array(end.bitwiseOR(low))
+    start = F.concat(edge, parts, edge)
+
+    def merge_at(s: Column, best: Column, at: Column) -> Column:
+        made = F.shiftright(best, ID_BITS)
+        two = F.array(part(F.get(s, at - 2).bitwiseAND(low), made), part(made, F.get(s, at + 1).bitwiseAND(low)))
+        return F.concat(F.slice(s, F.lit(1), at - 2), two, F.slice(s, at + 2, n))
 
     def step(s: Column, _: Column) -> Column:
-        best = F.array_min(s)
-        done = best >= F.lit(NONE << ID_BITS).cast("bigint")
-        return F.when(done, s).otherwise(F.transform(F.array(best), lambda b: merge_at(s, b))[0])
+        merged = lambda best: bind(call("array_position", s, best).cast("int"), lambda at: merge_at(s, best, at))
+        return bind(F.array_min(s), lambda best: F.when(best >= end, s).otherwise(merged(best)))
 
-    merged = F.aggregate(F.sequence(F.lit(2), n), start, step, lambda s: F.transform(s, lambda x: x.bitwiseAND(low).cast("int")))
-    return F.when(n == 0, F.array().cast("array<int>")).when(n == 1, F.transform(parts, lambda x: x.cast("int"))).otherwise(merged)
+    ids = lambda s: F.transform(F.slice(s, F.lit(2), F.size(s) - 2), lambda x: x.bitwiseAND(low).cast("int"))
+    done = F.aggregate(F.sequence(F.lit(2), n), start, step, ids)
+    return F.when(n == 0, F.array().cast("array<int>")).when(n == 1, ids(start)).otherwise(done)
 
 
 def splitter(pattern: str):
@@ -131,18 +136,35 @@ def splitter(pattern: str):
     return whole.findall
 
 
-def words_of(pattern: str, path: str, known: dict[bytes, bytes]):
-    """mapInPandas function: texts to numbered words, with each new word once."""
+def nested(words: list[bytes]):
+    """Words as an Arrow array of lists of byte values."""
+    import pyarrow as pa
+
+    ends = np.cumsum([0, *map(len, words)], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(words), np.uint8).astype(np.int32)))
+
+
+def slices(lists) -> list[bytes]:
+    """Arrow lists of ids as little-endian uint32 bytes."""
+    flat = np.asarray(lists.flatten()).astype("<u4").tobytes()
+    ends = (np.concatenate([[0], np.cumsum(np.asarray(lists.value_lengths()), dtype=np.int64)]) * 4).tolist()
+    return [flat[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+
+
+def words_of(pattern: str, path: str, frequent_words: bytes):
+    """mapInArrow function: texts to numbered words, a row for each batch, with each new word once."""
 
     def run(batches):
-        split, ranks = splitter(pattern), None
+        import pyarrow as pa
+
+        split, ranks, known = splitter(pattern), None, dictionary(frequent_words)
         number: dict[str, int] = {}
         epoch = 0
         for batch in batches:
             if len(number) > DICTIONARY:
                 number, epoch = {}, epoch + 1
             first, codes, words, done = len(number), [], [], []
-            for text in batch["text"]:
+            for text in batch.column("text").to_pylist():
                 row = split(text or "")
                 for w in set(row).difference(number):
                     number[w] = len(number)
@@ -154,39 +176,63 @@ def words_of(pattern: str, path: str, known: dict[bytes, bytes]):
                     words.append(b if ids is None else b"")
                     done.append(ids or b"")
                 codes.append(np.fromiter(map(number.__getitem__, row), np.int32, len(row)).tobytes())
-            yield pd.DataFrame({"docs": [batch["id"].tolist()], "codes": [codes], "words": [words], "done": [done], "first": [first], "epoch": [epoch]})
+            one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+            columns = [one(batch.column("id")), one(pa.array(codes, pa.binary())), one(nested(words)), one(pa.array(done, pa.binary()))]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([first], pa.int32())], names=["docs", "codes", "words", "done", "first"])
 
     return run
 
 
-def encode(docs: DataFrame, id_col: str, text_col: str, path: str, pattern: str) -> DataFrame:
-    """Return (id, ids binary) per row of ``docs``: the ids as little-endian uint32.
-
-    A null or empty text has no ids. Rows that repeat an id each keep their own row.
-    """
-    bounded_batches(docs.sparkSession)
+def encoded(docs: DataFrame, id_col: str, text_col: str, path: str, pattern: str, then, fields: str) -> DataFrame:
+    """Return (id, fields) per row of ``docs``: what ``then`` makes of the rows' ids, in the same Python worker."""
+    bounded_batches(docs.sparkSession, BATCH)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    kind = texts.schema["id"].dataType.simpleString()
+    own = StructField("id", texts.schema["id"].dataType)
     known = frequent(texts, path, pattern)
-    numbered = texts.mapInPandas(
-        words_of(pattern, path, known), f"docs array<{kind}>, codes array<binary>, words array<binary>, done array<binary>, first int, epoch int"
+    numbered = texts.mapInArrow(
+        words_of(pattern, path, known), f"docs array<{own.dataType.simpleString()}>, codes array<binary>, words array<array<int>>, done array<binary>, first int"
     )
-    merged = numbered.select("docs", "codes", "done", "first", "epoch", fold_all(F.col("words"), path).alias("merged"))
+    merged = numbered.select("docs", "codes", "done", "first", fold_all(F.col("words"), path).alias("merged"))
+    made = StructType.fromDDL(fields)
+
+    def assemble(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_type
 
-    def assemble(batches):
-        table: list[bytes] = []
+        table, use = [], then()
         for batch in batches:
-            for docs_, codes, done, first, merged_ in zip(*(batch[c] for c in ("docs", "codes", "done", "first", "merged")), strict=True):
-                del table[first:]
-                table += [d or np.asarray(m, "<u4").tobytes() for d, m in zip(done, merged_, strict=True)]
-                ids = [b"".join(map(table.__getitem__, np.frombuffer(c, np.int32).tolist())) for c in codes]
-                yield pd.DataFrame({"id": pd.Series(list(docs_), dtype=object), "ids": ids})
+            for k in range(batch.num_rows):
+                docs_, codes, done, merged_ = (batch.column(c)[k].values for c in ("docs", "codes", "done", "merged"))
+                del table[batch.column("first")[k].as_py() :]
+                table += [d or m for d, m in zip(done.to_pylist(), slices(merged_), strict=True)]
+                ids = [b"".join(map(table.__getitem__, np.frombuffer(c, np.int32).tolist())) for c in codes.to_pylist()]
+                arrays = [pa.array(v, to_arrow_type(f.dataType)) for v, f in zip(use(ids), made, strict=True)]
+                yield pa.RecordBatch.from_arrays([docs_, *arrays], names=["id", *made.names])
 
-    return merged.mapInPandas(assemble, f"id {kind}, ids binary")
+    return merged.mapInArrow(assemble, StructType([own, *made]))
 
 
-def frequent(texts: DataFrame, path: str, pattern: str) -> dict[bytes, bytes]:
-    """The ids of the most frequent words of a bounded sample of texts."""
+def encode(docs: DataFrame, id_col: str, text_col: str, path: str, pattern: str) -> DataFrame:
+    """Return (id, ids binary) per row of ``docs``: the ids as little-endian uint32.
+
+    A null or empty text has no ids. Rows that repeat an id, and null ids, each keep their
+    own row. An empty table gives no rows.
+    """
+    return encoded(docs, id_col, text_col, path, pattern, lambda: lambda ids: [ids], "ids binary")
+
+
+def dictionary(known: bytes) -> dict[bytes, bytes]:
+    """Ids by word, of what ``frequent`` returns."""
+    import pyarrow as pa
+
+    out: dict[bytes, bytes] = {}
+    for batch in pa.ipc.open_stream(known) if known else ():
+        out.update(zip(batch.column("word").to_pylist(), slices(batch.column("ids")), strict=True))
+    return out
+
+
+def frequent(texts: DataFrame, path: str, pattern: str) -> bytes:
+    """The ids of the most frequent words of a bounded sample of texts, as an Arrow stream: workers unpack it, the driver doesn't."""
 
     def count(batches):
         split, seen = splitter(pattern), Counter()
@@ -201,36 +247,51 @@ def frequent(texts: DataFrame, path: str, pattern: str) -> dict[bytes, bytes]:
 
     total = texts.count()
     if not total:
-        return {}
+        return b""
     share = max(1, total // SAMPLE_DOCS)
     sample = texts.where(F.pmod(F.xxhash64("id"), F.lit(share)) == 0) if share > 1 else texts
     words = sample.mapInPandas(count, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
     top = words.orderBy(F.desc("n"), "word").limit(SAMPLE_WORDS).select("word")
-    folded = top.repartition(int(docs_parallelism(texts))).select("word", fold_all(F.array("word"), path)[0].alias("ids"))
-    return {bytes(r["word"]): np.array(r["ids"], "<u4").tobytes() for r in folded.collect()}
 
+    def values(batches):
+        import pyarrow as pa
 
-def docs_parallelism(df: DataFrame) -> int:
-    return df.sparkSession.sparkContext.defaultParallelism
+        for batch in batches:
+            words = batch.column("word").to_pylist()
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), nested(words)], names=["word", "bytes"])
 
+    parts = texts.sparkSession.sparkContext.defaultParallelism
+    spelt = top.repartition(parts).mapInArrow(values, "word binary, bytes array<int>")
+    folded = spelt.select("word", fold_all(F.array("bytes"), path)[0].alias("ids"))
+    import pyarrow as pa
 
-def decode(encoded: DataFrame, path: str) -> DataFrame:
-    """Return (id, ids, decoded binary): the concatenated pieces of the ids."""
-    kind = encoded.schema["id"].dataType.simpleString()
+    found, sink = folded.toArrow(), pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, found.schema) as stream:
+        stream.write_table(found)
+    return sink.getvalue().to_pybytes()
 
-    def run(batches):
-        pieces = {i: t for t, i in rank_file(path).items()}
-        table = [pieces.get(i, b"") for i in range(max(pieces) + 1)]
-        for batch in batches:
-            decoded = [b"".join(map(table.__getitem__, np.frombuffer(x, "<u4").tolist())) for x in batch["ids"]]
-            yield batch.assign(decoded=decoded)
 
-    return encoded.mapInPandas(run, f"id {kind}, ids binary, decoded binary")
+def pieces(path: str):
+    """A function from the ids of rows to the bytes they stand for."""
+    by_id = {i: t for t, i in rank_file(path).items()}
+    table = [by_id.get(i, b"") for i in range(max(by_id) + 1)]
+    return lambda ids: [b"".join(map(table.__getitem__, np.frombuffer(x, "<u4").tolist())) for x in ids]
+
+
+def decode(ids: DataFrame, path: str, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
+    """``ids`` with a column of the concatenated pieces of the ids (little-endian uint32); null ids count as none."""
+    table = ids.withColumn(out, F.col(ids_col))
+    return by_column(table, out, lambda: lambda batch, use=pieces(path): [use([x or b"" for x in batch])], f"`{out}` binary")
 
 
 def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, and SHA-256 of the ids and of the decoded bytes."""
-    both = decode(encode(docs, "doc_id", "text", path, pattern), path)
+
+    def then():
+        use = pieces(path)
+        return lambda ids: [ids, use(ids)]
+
+    both = encoded(docs, "doc_id", "text", path, pattern, then, "ids binary, decoded binary")
     return both.select(
         F.col("id").alias("doc_id"),
         (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"),
