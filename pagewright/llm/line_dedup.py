@@ -7,8 +7,17 @@ match there (multi-match-aware positions). What meets is verified by a banded
 bit-parallel edit distance: the band's vertical differences are two integers that are
 folded over the columns.
 
-Equal lines are one entry, whatever their number. Lines of fewer than ``min_chars``
-characters aren't looked at, and always stay.
+A segment that more than ``HOT`` lines share, as in a large group of near copies, would
+make pairs by the square of their number. With a threshold of one, such a segment's
+lines are split again instead: what is left of the line has one edit, so that two lines
+agree in all but one of its parts. Parts are split until few lines are left, or one
+place: lines that are equal but for one character are all linked with each other, and
+are one class with a count; a line that is another without one character is found by
+the whole of the other. So rows grow with the lines, not with their pairs.
+
+Equal lines are one entry, whatever their number. Lines without a letter or digit aren't
+looked at, and always stay; lines of fewer than ``min_chars`` characters only count as
+equal or not.
 """
 
 from __future__ import annotations
@@ -16,53 +25,52 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, fresh
 from .graph import components
 
-THRESHOLD, MIN_CHARS = 1, 40
+#: Edits, least length of lines that are compared for them, lines of a segment that meet in pairs, and parts of a split.
+THRESHOLD, MIN_CHARS, HOT, FAN = 1, 20, 16, 8
+#: A line's name.
+LINE = ("h1", "h2")
 
 
-def occurrences(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
-    """Return (id, line number from 0, line, two hashes that stand for it) of all long lines."""
-    lines = docs.select(F.col(id_col).alias("id"), F.posexplode(F.split(F.col(text_col), "\n", -1)).alias("line", "body"))
-    return lines.where(F.length("body") >= min_chars).select("id", "line", "body", F.xxhash64("body").alias("h1"), F.xxhash64(F.lit("again"), "body").alias("h2"))
+def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Return (id, row, line number from 0, body, two hashes that stand for it) of all lines that are looked at.
+
+    ``row`` is a hash of the text: with the id, it tells rows that repeat an id from each other.
+    """
+    text = F.col(text_col)
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("row"), F.posexplode(F.split(text, "\n", -1)).alias("line", "body"))
+    hashes = {"h1": F.xxhash64("body"), "h2": F.xxhash64(F.lit("again"), "body")}
+    return rows.where(F.col("body").rlike(r"[\p{L}\p{N}]")).withColumns(hashes)
 
 
 def segment(length: Column, i: int, parts: int) -> tuple[Column, Column]:
-    """Start (from 0) and length of segment i of a line; the last ones take what is left over."""
-    short = F.floor(length / parts).cast("int")
-    over = length - short * parts  # so many segments at the end are longer by one
-    first_long = parts - over
-    start = short * i + F.greatest(F.lit(i) - first_long, F.lit(0))
-    return start.cast("int"), (short + (F.lit(i) >= first_long).cast("int")).cast("int")
+    """Start (from 0) and length of segment i of a line."""
+    at = lambda k: F.lit(0) if k == 0 else length if k == parts else F.call_function("div", length * k, F.lit(parts)).cast("int")
+    return at(i), at(i + 1) - at(i)
 
 
 def keyed(body: Column, length: Column, i: int, start: Column, size: Column) -> Column:
     return F.xxhash64(length, F.lit(i), F.call_function("substring", body, start + 1, size))
 
 
-def index_keys(body: Column, length: Column, threshold: int) -> Column:
-    """Keys of a line's own segments."""
-    return F.array(*[keyed(body, length, i, *segment(length, i, threshold + 1)) for i in range(threshold + 1)])
-
-
-def probe_keys(body: Column, length: Column, threshold: int) -> Column:
-    """(key, whether the lengths are equal) of substrings that match segments of lines as long or shorter."""
+def lookups(threshold: int) -> list[tuple[int, int, int]]:
+    """(less, i, by): segment i of lines that are shorter by ``less`` is looked up at ``by`` from its place."""
     out = []
     for less in range(threshold + 1):
-        other = length - less
         for i in range(threshold + 1):
-            start, size = segment(other, i, threshold + 1)
-            low = max(-i, less - (threshold - i))
-            high = min(i, less + (threshold - i))
-            out += [F.struct(keyed_as(body, other, i, start + by, size).alias("key"), F.lit(less == 0).alias("same")) for by in range(low, high + 1)]
-    return F.array(*out)
+            low, high = max(-i, less - (threshold - i)), min(i, less + (threshold - i))
+            out += [(less, i, by) for by in range(low, high + 1)]
+    return out
 
 
-def keyed_as(body: Column, length: Column, i: int, start: Column, size: Column) -> Column:
-    """As ``keyed``, null where the substring would leave the line."""
-    inside = (start >= 0) & (start + size <= F.length(body))
-    return F.when(inside, keyed(body, length.cast("int"), i, start, size))
+def lookup_key(body: Column, length: Column, threshold: int, less: int, i: int, by: int) -> Column:
+    """Key of a lookup; null where the substring would leave the line. With no shift it is that of the line's own segment."""
+    other = (length - less).cast("int")
+    start, size = segment(other, i, threshold + 1)
+    inside = (start + by >= 0) & (start + by + size <= length)
+    return F.when(inside, keyed(body, other, i, start + by, size))
 
 
 def banded_distance(a: Column, b: Column, threshold: int) -> Column:
@@ -138,71 +146,149 @@ def bind(value: Column, use) -> Column:
     return F.transform(F.array(value), lambda v: use(v))[0]
 
 
-def linked_lines(lines: DataFrame, threshold: int) -> DataFrame:
-    """Pairs (a, b) of first places (struct id, line) of different lines within the threshold."""
-    distinct = lines.groupBy("h1", "h2").agg(F.min(F.struct("id", "line")).alias("first"), F.first("body").alias("body"))
-    # All uses need the same columns, so that the texts are shuffled once and the exchange is used again.
-    distinct = distinct.where("first is not null")
-    length = F.length("body")
-    slots = distinct.select("h1", "h2", F.explode(index_keys(F.col("body"), length, threshold)).alias("key"))
-    probes = distinct.select("h1", "h2", F.explode(probe_keys(F.col("body"), length, threshold)).alias("p")).select(
-        F.col("h1").alias("p1"), F.col("h2").alias("p2"), "p.key", "p.same"
-    )
-    met = (
-        probes.join(slots, "key")
-        .where((F.col("p1") != F.col("h1")) | (F.col("p2") != F.col("h2")))
-        .where(~F.col("same") | (F.col("p1") < F.col("h1")) | ((F.col("p1") == F.col("h1")) & (F.col("p2") < F.col("h2"))))
-        .select("p1", "p2", "h1", "h2")
-        .distinct()
+def met_pairs(slots: DataFrame, key: list[str]) -> DataFrame:
+    """Pairs of lines (h1, h2, g1, g2) that share a key: two that own it, or one that does and one that probes it."""
+    own = slots.where("own").select(*key, *LINE)
+    every = slots.select(*key, "own", F.col("h1").alias("g1"), F.col("h2").alias("g2"))
+    later = (F.col("h1") < F.col("g1")) | ((F.col("h1") == F.col("g1")) & (F.col("h2") < F.col("g2")))
+    return own.join(every, key).where(F.when(F.col("own"), later).otherwise((F.col("h1") != F.col("g1")) | (F.col("h2") != F.col("g2")))).select(*LINE, "g1", "g2")
+
+
+def split_slots(slots: DataFrame, bodies: DataFrame) -> DataFrame:
+    """The parts of each slot (h1, h2, own, swap, n, a, w), with keys (k1, k2) of all that is outside of them.
+
+    A slot is a window of w characters from a on, in lines of n characters, that agree
+    outside of it. For ``swap``, one of its characters differs; else a line of n + 1
+    characters, which doesn't own the key, has one more in one of its w + 1 gaps.
+    """
+    places = F.col("w") + F.when(F.col("swap"), 0).otherwise(1)
+    parts = F.least(F.lit(FAN), places)
+    cut_at = lambda j: F.floor(places * j / F.col("parts")).cast("int")
+    each = slots.withColumn("parts", parts).withColumn("j", F.explode(F.sequence(F.lit(0), parts - 1)))
+    less = F.when(F.col("swap"), 0).otherwise(1)
+    each = each.withColumns({"a": (F.col("a") + cut_at(F.col("j"))).cast("int"), "w": (cut_at(F.col("j") + 1) - cut_at(F.col("j")) - less).cast("int")})
+    sub = lambda *x: F.call_function("substring", F.col("body"), *x)
+    after = F.col("a") + F.col("w") + F.when(F.col("own"), 0).otherwise(1)
+    outside = ["swap", "n", "a", "w", sub(F.lit(1), F.col("a")), sub((after + 1).cast("int"))]
+    both = each.join(bodies, list(LINE)).withColumns({"k1": F.xxhash64(*outside), "k2": F.xxhash64(F.lit("again"), *outside)})
+    return both.select(*LINE, "own", "swap", "n", "a", "w", "k1", "k2")
+
+
+def refined(hot: DataFrame, bodies: DataFrame) -> tuple[list[DataFrame], DataFrame | None]:
+    """What lines of hot segments (h1, h2, own, i) lead to: tables of pairs that meet, and classes (k1, k2, n, h1, h2).
+
+    All lines of a class are equal but for one character.
+    """
+    n = F.length("body") - F.when(F.col("own"), 0).otherwise(1)
+    first, second = segment(n, 0, 2)[1], segment(n, 1, 2)
+    slots = hot.join(bodies, list(LINE)).select(
+        *LINE, "own", n.cast("int").alias("n"), F.when(F.col("i") == 0, second[0]).otherwise(0).cast("int").alias("a"), F.when(F.col("i") == 0, second[1]).otherwise(first).cast("int").alias("w")
     )
-    one = distinct.select("h1", "h2", F.col("first").alias("a"), F.col("body").alias("x"))
-    two = distinct.select(F.col("h1").alias("p1"), F.col("h2").alias("p2"), F.col("first").alias("b"), F.col("body").alias("y"))
-    both = met.join(one, ["h1", "h2"]).join(two, ["p1", "p2"])
+    slots = slots.withColumn("swap", F.explode(F.when(F.col("own"), F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(False)))))
+    pairs, classes = [], None
+    while True:
+        parts = cut(split_slots(slots, bodies))
+        key = ["k1", "k2"]
+        counts = parts.groupBy(key).agg(F.sum(F.col("own").cast("int")).alias("owners"), F.count(F.lit(1)).alias("all"))
+        met = cut(parts.join(counts.where("owners >= 1 and all >= 2"), key))
+        leaf = F.when(F.col("swap"), F.col("w") == 1).otherwise(F.col("w") == 0)
+        few = F.col("all") <= HOT
+        equal = met.where(F.col("swap") & leaf).select(*key, (F.col("owners") - 1).alias("others"), *LINE)
+        classes = equal if classes is None else classes.union(equal)
+        # Of a line without one character there is one: its links are as many as the lines that have one more.
+        pairs.append(met_pairs(met.where(~F.col("swap") & leaf | ~leaf & few).select(*key, "own", *LINE), key))
+        slots = met.where(~leaf & ~few).select(*LINE, "own", "n", "a", "w", "swap").distinct()
+        if slots.isEmpty():
+            return pairs, classes
+
+
+def linked_lines(docs: DataFrame, distinct: DataFrame, id_col: str, text_col: str, threshold: int) -> tuple[DataFrame, DataFrame]:
+    """Links between lines of ``distinct`` (h1, h2, pick, slots): pairs (h1, h2, g1, g2), each once, and classes (k1, k2, others, h1, h2).
+
+    No pair is in both.
+    """
+    slots = distinct.where("slots is not null").select(*LINE, "pick", F.explode("slots").alias("s")).select(*LINE, "pick", "s.*").where("key is not null")
+    counts = slots.groupBy("key").agg(F.sum(F.col("own").cast("int")).alias("owners"), F.count(F.lit(1)).alias("all"))
+    met = cut(slots.join(counts.where("owners >= 1 and all >= 2").select("key", "all"), "key"))
+    few = F.col("all") <= HOT if threshold == 1 else F.lit(True)
+    needed = met.groupBy(*LINE).agg(F.min("pick").alias("pick"))
+    every = lines_of(docs, id_col, text_col).withColumn("pick", F.xxhash64("id", "row", "line")).select(*LINE, "pick", "body")
+    bodies = cut(every.join(needed, [*LINE, "pick"]).dropDuplicates(list(LINE)).select(*LINE, "body"))
+    pairs, classes = [met_pairs(met.where(few), ["key"])], None
+    hot = met.where(~few).select(*LINE, "own", "i").distinct()
+    if threshold == 1 and not hot.isEmpty():
+        more, classes = refined(hot, bodies)
+        pairs += more
+    every_pair = pairs[0]
+    for p in pairs[1:]:
+        every_pair = every_pair.union(p)
+    turned = (F.col("h1") < F.col("g1")) | ((F.col("h1") == F.col("g1")) & (F.col("h2") < F.col("g2")))
+    low, high = F.struct("h1", "h2"), F.struct(F.col("g1").alias("h1"), F.col("g2").alias("h2"))
+    ordered = every_pair.select(F.when(turned, low).otherwise(high).alias("l"), F.when(turned, high).otherwise(low).alias("r"))
+    once = ordered.select(F.col("l.h1").alias("h1"), F.col("l.h2").alias("h2"), F.col("r.h1").alias("g1"), F.col("r.h2").alias("g2")).distinct()
+    other = bodies.select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), F.col("body").alias("y"))
+    both = once.join(bodies.withColumnRenamed("body", "x"), list(LINE)).join(other, ["g1", "g2"])
     near = bind(trimmed(F.col("x"), F.col("y"), threshold), lambda v: banded_distance(v["x"], v["y"], threshold) <= threshold)
-    return both.where(near).select("a", "b")
+    links = both.where(near).select(*LINE, "g1", "g2")
+    if classes is None:
+        zero = F.lit(0).cast("bigint")
+        classes = links.where("false").select(zero.alias("k1"), zero.alias("k2"), zero.alias("others"), *LINE)
+    return cut(links), cut(classes)
 
 
 def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
-    """Return (id, line, class_id, class_line, n_links) of each line that is in a class with another.
-
-    A class is what links reach; it is named by its first place (smallest id, then line).
-    ``n_links`` counts the different lines that the line itself is linked with. Lines are
-    parted by newlines and numbered from 0. Null and empty texts have no lines to look at;
-    rows that repeat an id are one document. Null ids sort first.
+    """Return (id, row, line, class_id, class_row, class_line, n_links) of each line that is in a class with another.
+
+    A class is what links reach; it is named by its first place (smallest id, then text
+    hash ``row``, then line). ``n_links`` counts the different lines that the line itself is
+    linked with. Lines are parted by newlines and numbered from 0. Null and empty texts have
+    no lines to look at. Rows that repeat an id are documents of their own, unless they
+    repeat the text, too: those are one. Null ids are ids like others, and sort first.
+    With a ``threshold`` over 1, lines of a hot segment are compared in pairs.
     """
-    lines = occurrences(docs, id_col, text_col, min_chars)
-    links = cut(linked_lines(lines, threshold))
-    places = cut(lines.select("id", "line", "h1", "h2"))
-    reach = components(links, "a", "b")
-    both = links.union(links.select("b", "a")).toDF("first", "other")
-    degree = both.groupBy("first").agg(F.count(F.lit(1)).alias("n_links"))
-    firsts = places.groupBy("h1", "h2").agg(F.min(F.struct("id", "line")).alias("first"), F.count(F.lit(1)).alias("n"))
-    classes = (
-        firsts.join(reach.withColumnRenamed("node", "first"), "first", "left")
-        .join(degree, "first", "left")
-        .where((F.col("n") > 1) | F.col("n_links").isNotNull())
-        .select("h1", "h2", F.coalesce("component", "first").alias("class"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    )
-    return places.join(classes, ["h1", "h2"]).select(
-        F.col("id").alias(id_col), "line", F.col("class.id").alias("class_id"), F.col("class.line").alias("class_line"), "n_links"
+    asked = lookups(threshold)
+    keys = [F.when(F.col("length") >= min_chars, lookup_key(F.col("body"), F.col("length"), threshold, *a)).alias(f"s{k}") for k, a in enumerate(asked)]
+    places = cut(lines_of(docs, id_col, text_col).withColumn("length", F.length("body")).select("id", "row", "line", *LINE, *keys))
+    firsts = [F.first(f"s{k}").alias(f"s{k}") for k in range(len(asked))]
+    counted = places.groupBy(*LINE).agg(F.count(F.lit(1)).alias("n"), F.min(F.xxhash64("id", "row", "line")).alias("pick"), *firsts)
+    slots = [F.struct(F.col(f"s{k}").alias("key"), F.lit(less == by == 0).alias("own"), F.lit(i).alias("i")) for k, (less, i, by) in enumerate(asked)]
+    distinct = cut(counted.select(*LINE, "n", "pick", F.when(F.col("s0").isNotNull(), F.array(*slots)).alias("slots")))
+    links, classes = linked_lines(docs, distinct, id_col, text_col, threshold)
+    pair = lambda a, b: F.struct(F.col(a).alias("h1"), F.col(b).alias("h2"))
+    heads = classes.groupBy("k1", "k2").agg(F.min(pair("h1", "h2")).alias("v"))
+    through = classes.join(heads, ["k1", "k2"]).select(pair("h1", "h2").alias("u"), "v")
+    reach = components(links.select(pair("h1", "h2").alias("u"), pair("g1", "g2").alias("v")).union(through), "u", "v")
+    ends = links.select(*LINE, F.lit(1).alias("k")).union(links.select("g1", "g2", F.lit(1))).union(classes.select(*LINE, "others"))
+    degree = ends.groupBy(*LINE).agg(F.sum("k").alias("n_links"))
+    root = reach.select(F.col("node.h1").alias("h1"), F.col("node.h2").alias("h2"), "component")
+    member = distinct.join(degree, list(LINE), "left").join(root, list(LINE), "left").where((F.col("n") > 1) | F.col("n_links").isNotNull())
+    member = cut(member.select(*LINE, F.coalesce("component", pair("h1", "h2")).alias("root"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links")))
+    found = cut(places.select("id", "row", "line", *LINE).join(member, list(LINE)))
+    # Written, so that both sides of the join come from a shuffle and a hot class can be split.
+    firsts = cut(found.groupBy("root").agg(F.min(F.struct("id", "row", "line")).alias("first")))
+    return found.join(firsts, "root").select(
+        F.col("id").alias(id_col), "row", "line", F.col("first.id").alias("class_id"), F.col("first.row").alias("class_row"), F.col("first.line").alias("class_line"), "n_links"
     )
 
 
-def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """Return (id, removed array<int>): the numbers of the lines that repeat a class's first line."""
-    found = duplicate_lines(docs, id_col, text_col, **options)
-    later = found.where(~(F.col(id_col).eqNullSafe(F.col("class_id")) & (F.col("line") == F.col("class_line"))))
-    return later.groupBy(id_col).agg(F.sort_array(F.collect_set("line")).alias("removed"))
+def is_repeat(id_col: str) -> Column:
+    """Whether a row of ``duplicate_lines`` isn't its class's first place."""
+    return ~(F.col(id_col).eqNullSafe(F.col("class_id")) & (F.col("row") == F.col("class_row")) & (F.col("line") == F.col("class_line")))
 
 
 def without_duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` with every line removed from the text that repeats a class's first line.
 
     Texts without such lines, and null texts, stay as they are. A text may become empty.
+    Rows that agree in id and text lose the same lines.
     """
-    removed = removed_lines(docs, id_col, text_col, **options).select(F.col(id_col).alias("__id"), F.col("removed").alias("__removed"))
+    later = duplicate_lines(docs, id_col, text_col, **options).where(is_repeat(id_col))
+    removed = later.groupBy(id_col, "row").agg(F.collect_set("line").alias("removed"))
+    key, hashed, gone = fresh(docs, "id", "row", "removed")
+    removed = removed.toDF(key, hashed, gone)
     lines = F.split(F.col(text_col), "\n", -1)
-    numbers = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__removed"))
+    numbers = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone))
     kept = F.array_join(F.transform(numbers, lambda i: F.get(lines, i)), "\n")
-    joined = docs.join(removed, docs[id_col].eqNullSafe(F.col("__id")), "left")
-    return joined.withColumn(text_col, F.when(F.col("__removed").isNull(), F.col(text_col)).otherwise(kept)).drop("__id", "__removed")
+    same = docs[id_col].eqNullSafe(F.col(key)) & (F.xxhash64(docs[text_col]) == F.col(hashed))
+    joined = docs.join(removed, same, "left")
+    return joined.withColumn(text_col, F.when(F.col(gone).isNull(), F.col(text_col)).otherwise(kept)).drop(key, hashed, gone)

@@ -30,7 +30,7 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     net = langid.fit(docs)
     said = langid.predict(docs.select("doc_id", "text"), net)
-    return said.select("doc_id", (langid.fold_of() == 2).alias("held_out"), "lang_pred", "score")
+    return said.select("doc_id", F.coalesce(langid.fold_of() == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,14 +42,14 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each document: its lines that are in a class with another line, their links, and those to remove."""
     docs = table(spark, sf_dir, "documents")
     found = line_dedup.duplicate_lines(docs)
-    removed = ~(F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("line") == F.col("class_line")))
-    lines = found.groupBy("doc_id").agg(
+    lines = found.groupBy("doc_id", "row").agg(
         F.count(F.lit(1)).alias("n_lines"),
-        F.sum(removed.cast("bigint")).alias("n_removed"),
+        F.sum(line_dedup.is_repeat("doc_id").cast("bigint")).alias("n_removed"),
         F.sum("n_links").alias("n_links"),
         F.sort_array(F.collect_list(F.struct("line", "class_id", "class_line"))).alias("classes"),
     )
-    joined = docs.select("doc_id").join(lines, "doc_id", "left")
+    rows = docs.select("doc_id", F.xxhash64("text").alias("hash"))
+    joined = rows.join(lines.withColumnRenamed("doc_id", "id"), rows["doc_id"].eqNullSafe(F.col("id")) & (F.col("hash") == F.col("row")), "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("bigint").alias(c)
     return joined.select("doc_id", zero("n_lines"), zero("n_removed"), zero("n_links"), "classes")
 

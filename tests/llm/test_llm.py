@@ -152,9 +152,9 @@ def test_lines(spark, threshold):
         return s
 
     rows = [(i, "\n".join(changed(rng.choice(base)) for _ in range(3))) for i in range(25)]
-    rows += [(90, None), (91, ""), (92, "short\nshort"), (93, base[0] + "\n" + base[0]), (94, "z" * 20_000)]
+    rows += [(90, None), (91, ""), (92, "short\nshort\n--\n--"), (93, base[0] + "\n" + base[0]), (94, "z" * 20_000), (95, "shorT")]
     got = {(r.doc_id, r.line): (r.class_id, r.class_line, r.n_links) for r in line_dedup.duplicate_lines(documents(spark, rows), threshold=threshold).collect()}
-    places = [((i, k), s) for i, t in rows for k, s in enumerate((t or "").split("\n")) if len(s) >= 40]
+    places = [((i, k), s) for i, t in rows for k, s in enumerate((t or "").split("\n")) if re.search(r"\w", s)]
     lines = sorted({s for _, s in places})
     root, degree = {s: s for s in lines}, dict.fromkeys(lines, 0)
 
@@ -165,7 +165,7 @@ def test_lines(spark, threshold):
 
     for i, a in enumerate(lines):
         for b in lines[i + 1 :]:
-            if abs(len(a) - len(b)) <= threshold and edit_distance(a, b) <= threshold:
+            if min(len(a), len(b)) >= line_dedup.MIN_CHARS and abs(len(a) - len(b)) <= threshold and edit_distance(a, b) <= threshold:
                 degree[a], degree[b] = degree[a] + 1, degree[b] + 1
                 root[find(a)] = find(b)
     classes = {}
@@ -178,6 +178,68 @@ def test_lines(spark, threshold):
         assert kept[i] == want
 
 
+def test_lines_of_a_hot_group_of_near_copies(spark):
+    rng = random.Random(21)
+    lines = {"".join(rng.choice("abcdefgh ") for _ in range(90))}
+    base = min(lines)
+    while len(lines) < 300:
+        s = rng.choice(sorted(lines)) if rng.random() < 0.6 else base
+        k = rng.randrange(len(s))
+        lines.add(rng.choice([s[:k] + rng.choice("xyz") + s[k + 1 :], s[:k] + rng.choice("xyé") + s[k:], s[:k] + s[k + 1 :], s[:k] + "".join(rng.choices("mnop", k=6)) + s[k + 6 :]]))
+    lines = sorted(lines)
+    rows = list(enumerate(lines)) + [(1000 + i, "\n".join(rng.choices(lines, k=4))) for i in range(60)]
+    got = {(r.doc_id, r.line): r for r in line_dedup.duplicate_lines(documents(spark, rows)).collect()}
+    near = {(a, b) for i, a in enumerate(lines) for b in lines[i + 1 :] if abs(len(a) - len(b)) <= 1 and edit_distance(a, b) <= 1}
+    degree = {s: sum(s in p for p in near) for s in lines}
+    assert max(degree.values()) > 4 * line_dedup.HOT
+    component = components_of(lines, near)
+    first = {}
+    for i, t in sorted(rows):
+        for k, s in enumerate(t.split("\n")):
+            first.setdefault(component[s], (i, k))
+    for i, t in rows:
+        for k, s in enumerate(t.split("\n")):
+            r = got.get((i, k))
+            assert (r.n_links if r else 0) == degree[s]
+            assert not r or (r.class_id, r.class_line) == first[component[s]]
+
+
+def test_lines_of_repeated_and_null_ids(spark):
+    a, b = "a line that stands in more than one document", "a line that is nowhere else in this table"
+    rows = [(1, a), (7, "short\n" + a), (7, "short\n" + b), (None, a + "\nown"), (None, "own"), (9, None)]
+    table = documents(spark, rows).withColumns({"__id": F.lit("x"), "__removed": F.lit(1), "row": F.lit(2)})
+    out = line_dedup.without_duplicate_lines(table)
+    assert out.columns == table.columns
+    key = lambda r: (r[0] is None, r[0] or 0, r[1] or "")
+    kept = sorted(((r.doc_id, r.text) for r in out.collect()), key=key)
+    # Null ids come first, of texts the one of the smaller hash.
+    assert [t for i, t in kept if i == 1] == [""] and [t for i, t in kept if i == 9] == [None]
+    everything = "\n".join(t for _, t in kept if t).split("\n")
+    assert sorted(x for x in everything if x) == sorted([a, b, "own", "short"])
+    assert line_dedup.duplicate_lines(table.limit(0)).count() == 0 and line_dedup.without_duplicate_lines(table.limit(0)).count() == 0
+
+
+BIG = 2**53 + 1
+
+
+def test_ids_beyond_double_precision_beside_nulls(spark):
+    rows = [(BIG, "some words of a text with a password=hunter22x here"), (None, "other words"), (BIG + 1, None), (BIG, "")]
+    table = documents(spark, rows).coalesce(1)
+    want = sorted([BIG, BIG + 1, BIG, -1])
+    ids = lambda df, c="doc_id": sorted(-1 if r[c] is None else r[c] for r in df.select(c).collect())
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    assert ids(secrets.scan(table)) == want
+    assert ids(packing.pack(table, "doc_id", "text", public_tokenizers.path("byte_bpe_50k.json"))) == want
+    assert ids(simhash.near_duplicates(table)) == want and ids(simhash.similar_documents(table)) == want
+    assert ids(bpe_codec.digests(table, path, public_tokenizers.PATTERN)) == want
+    assert ids(sharding.shard(table, 2)) == want
+    assert ids(langid.predict(table.withColumn("__text", F.lit(1)), None)) == want
+    vectors = spark.createDataFrame([(BIG, [1.0, 0.0]), (None, [1.0, 0.1]), (BIG + 1, None), (BIG, [0.0, 1.0])], "vec_id long, embedding array<double>").coalesce(1)
+    assert ids(vector_dedup.link_vectors(vectors), "vec_id") == want
+    found = ann.search(vectors, lambda i: i == BIG).collect()
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in found) == [(BIG, 1, BIG, 0.0), (BIG, 1, BIG, 0.0)]
+
+
 def test_bpe(spark, docs):
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     coder = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.rank_file(path), special_tokens={})
@@ -189,6 +251,9 @@ def test_bpe(spark, docs):
         r = out[i, hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()]
         assert r.n_tokens == len(ids) and r.decoded_sha256 == hashlib.sha256((t or "").encode()).hexdigest()
     rng, ranks = random.Random(5), bpe.rank_file(path)
+    assert bpe_codec.encode(docs.limit(0), "doc_id", "text", path, public_tokenizers.PATTERN).count() == 0
+    back = bpe_codec.decode(bpe_codec.encode(docs, "doc_id", "text", path, public_tokenizers.PATTERN), path).collect()
+    assert sorted(bytes(r.decoded) for r in back) == sorted((t or "").encode() for _, t in texts(docs))
     for _ in range(200):
         piece = bytes(rng.choices(b"abtheingtion \n\xc3\xa9", k=rng.randint(1, 200)))
         assert bpe.merge(piece, ranks) == coder._encode_single_piece(piece)
@@ -229,6 +294,20 @@ def test_nearest_in_a_group_of_near_copies(spark):
         assert [found[k] for k in range(1, 21)] == [i for i in np.argsort(-score) if i != q][:20]
 
 
+def test_nearest_of_other_lengths_and_repeated_ids(spark):
+    rng = np.random.default_rng(26)
+    rows = [(i, rng.normal(size=8).tolist()) for i in range(500)] + [(i % 7, rng.normal(size=8).tolist()) for i in range(40)]
+    rows += [(i, rng.normal(size=5).tolist()) for i in range(600, 650)] + [(20, rng.normal(size=5).tolist())]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted((r.query_id, r["rank"], r.vec_id, round(r.score, 9)) for r in ann.search(table, lambda i: i % 20 == 0).collect())
+    want = []
+    for k, (i, v) in enumerate(rows):
+        if i % 20 == 0:
+            near = sorted((-float(np.dot(v, w)), j) for m, (j, w) in enumerate(rows) if m != k and len(w) == len(v))[:20]
+            want += [(i, n, j, round(-s, 9)) for n, (s, j) in enumerate(near, 1)]
+    assert got == sorted(want)
+
+
 def test_packing(spark, docs):
     from tokenizers import Tokenizer
 
@@ -337,6 +416,47 @@ def test_simhash(spark, docs):
     assert simhash.near_duplicates(docs).count() == docs.count()  # a null id stays
 
 
+def test_similar_documents(spark):
+    rng = random.Random(32)
+    alphabet = "abcdefghijklmnop"
+    rows, n = [], 0
+    for _ in range(25):
+        own = words(rng, 200, alphabet).split()
+        rows.append((n, " ".join(own)))
+        for share in (0.01, 0.02, 0.12):  # similarities of about 0.9, 0.82 and 0.35
+            rows.append((n + 1, " ".join("changed" + str(rng.random()) if rng.random() < share else w for w in own)))
+            n += 1
+        n += 1
+    rows += [(900, None), (901, ""), (902, "few words"), (903, "Few  WORDS"), (904, "other words")]
+    out = {r.doc_id: r.component_id for r in simhash.similar_documents(documents(spark, rows)).collect()}
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for i, t in rows for w in [(t or "").lower().split()]}
+    near = []
+    for i in sets:
+        for j in sets:
+            similarity = len(sets[i] & sets[j]) / len(sets[i] | sets[j])
+            assert out[i] != out[j] or similarity > 0.6
+            near += [out[i] == out[j]] if i < j and similarity >= 0.8 else []
+    assert len(near) > 40 and sum(near) / len(near) >= 0.95
+    assert simhash.similar_documents(documents(spark, rows).limit(0)).count() == 0
+
+
+def test_joined_rows_by_parts_of_a_bucket():
+    rng = np.random.default_rng(33)
+    prints = rng.integers(0, 2**63, (400, 4)).astype(np.uint64)
+    prints[100:180] = prints[100] ^ (np.uint64(1) << rng.integers(0, 63, (80, 4)).astype(np.uint64))
+    buckets = np.sort(rng.integers(0, 30, 400))
+    buckets[90:200] = buckets[90]
+    buckets.sort()
+    for side in (np.full(400, 2), rng.integers(0, 2, 400)):
+        a, b = simhash.joined_rows(prints, buckets, side, 20)
+        links = [
+            (i, j) for i in range(400) for j in range(i + 1, 400)
+            if buckets[i] == buckets[j] and (side[i] == 2 or side[i] != side[j]) and int(np.bitwise_count(prints[i] ^ prints[j]).sum()) <= 20
+        ]
+        want = components_of(range(400), links)
+        assert dict(zip(a.tolist(), b.tolist(), strict=True)) == {i: c for i, c in want.items() if i != c}
+
+
 def test_one_document_of_each_component_stays(spark):
     rng = random.Random(31)
     a, b, c, d = (words(rng, 60) for _ in range(4))
@@ -384,7 +504,7 @@ def test_passages_of_a_hot_source(spark):
     out = chaining.passages(documents(spark, rows)).collect()
     assert sorted(r.doc_id for r in out) == list(range(1, len(rows))) and {r.source_doc_id for r in out} == {0}
     assert all(r.similarity == 1 and r.end_word - r.start_word == 80 for r in out)
-    links = spark.createDataFrame([(i, 0 if i < 200 else 1) for i in range(210)], "doc long, source long")
+    links = spark.createDataFrame([(i, 1, 0 if i < 200 else 1, 1) for i in range(210)], "doc long, row long, source long, source_row long")
     slotted, slots = chaining.dealt(links)
     sizes = {(r.source, r.slot): r["count"] for r in slotted.groupBy("source", "slot").count().collect()}
     assert sum(sizes.values()) == 210 and sizes[1, 0] == 10 and max(n for (s, _), n in sizes.items() if s == 0) < 20
