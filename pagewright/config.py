@@ -54,7 +54,8 @@ class Config:
         "www.googletagmanager.com googletagmanager.com www.google-analytics.com ssl.google-analytics.com cdn.jsdelivr.net unpkg.com cdnjs.cloudflare.com"
     )
     classifiers: tuple = field(default=())
-    max_blobs: int = 50
+    max_blobs: int | None = 50
+    max_span: int = 100_000
     min_blob_chars: int = 24
     min_assign_chars: int = 40
     json_scan_cap: int = 2_000_000

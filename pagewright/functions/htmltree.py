@@ -281,3 +281,37 @@ def prettify(tree: Tree, n: int = 0, indent: int = 2, max_depth: int = 64, inlin
                 todo.extend((k, level + 1) for k in reversed(kids))
     return "\n".join(lines)
 
+
+
+def prettify_lines(tree: Tree, n: int = 0, verbatim: tuple[str, ...] = ("pre", "textarea")) -> str:
+    """HTML with each tag and each text on a line of its own, one space a level, attributes by name.
+
+    Blank texts go, others are stripped; what is in ``verbatim`` elements stays as it is.
+    """
+    lines: list[str] = []
+
+    def start(i: int) -> str:
+        said = "".join(f' {k}="{escape(v).replace(chr(34), "&quot;")}"' for k, v in sorted(tree.attrs[i]))
+        return f"<{tree.tag[i]}{said}" + ("/>" if tree.tag[i] in VOID else ">")
+
+    todo: list[tuple[int, int, bool]] = [(k, 0, False) for k in reversed(tree.kids(n))] if tree.kind[n] == DOCUMENT else [(n, 0, False)]
+    while todo:
+        i, level, ends = todo.pop()
+        pad = " " * level
+        if ends:
+            lines.append(f"{pad}</{tree.tag[i]}>")
+        elif tree.kind[i] == TEXT:
+            said = tree.data[i].strip()
+            raw = tree.tag[tree.parent[i]] in RAW_TEXT - RAW_DECODED
+            lines += [pad + (said if raw else escape(said))] if said else []
+        elif tree.kind[i] == COMMENT:
+            lines.append(f"{pad}<!--{tree.data[i]}-->")
+        elif tree.tag[i] in verbatim:
+            inner = "".join(serialize(tree, k) if tree.kind[k] == ELEMENT else escape(tree.data[k]) for k in tree.kids(i))
+            lines.append(f"{pad}{start(i)}{inner}</{tree.tag[i]}>")
+        else:
+            lines.append(pad + start(i))
+            if tree.tag[i] not in VOID:
+                todo.append((i, level, True))
+                todo.extend((k, level + 1, False) for k in reversed(tree.kids(i)))
+    return "".join(f"{x}\n" for x in lines)

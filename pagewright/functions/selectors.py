@@ -234,12 +234,16 @@ def nth_matches(nth: tuple[int, int], i: int) -> bool:
 
 
 class Matcher:
-    """Selects on one tree. Answers for (node, compound or chain) are kept."""
+    """Selects on one tree. A selector costs its compounds times the nodes, however deep these nest.
+
+    Answers are kept as an array over the nodes for each chain, with the chain itself, so
+    that its identity stays its own.
+    """
 
     def __init__(self, tree: Tree) -> None:
         self.tree = tree
         self.places = None
-        self.kept: dict[tuple, bool] = {}
+        self.kept: dict[tuple, tuple] = {}
 
     def place(self, name: str) -> list:
         if self.places is None:
@@ -248,41 +252,53 @@ class Matcher:
 
     def select(self, selector: str, scope: int = 0) -> list[int]:
         """Matching elements below ``scope``, in document order; ancestors may lie outside it."""
-        chains = parse_selector(selector)
-        t = self.tree
-        return [n for n in range(scope + 1, t.last[scope] + 1) if t.kind[n] == ELEMENT and any(self.chain(n, c, len(c) - 1) for c in chains)]
-
-    def chain(self, n: int, chain: Chain, k: int) -> bool:
-        key = (n, id(chain), k)
-        if key not in self.kept:
-            self.kept[key] = self.compound(n, chain[k][1]) and (k == 0 or any(self.chain(m, chain, k - 1) for m in self.before(n, chain[k][0])))
-        return self.kept[key]
-
-    def before(self, n: int, combinator: str):
-        """Elements that stand before n by a combinator."""
-        t = self.tree
-        if combinator in (" ", ">"):
-            n = t.parent[n]
-            while n > 0:
-                yield n
-                n = t.parent[n] if combinator == " " else 0
-        else:
-            n = self.place("prev_e")[n]
-            while n is not None:
-                yield n
-                n = self.place("prev_e")[n] if combinator == "~" else None
-
-    def after(self, n: int, combinator: str):
-        t = self.tree
-        if combinator == " ":
-            return (i for i in range(n + 1, t.last[n] + 1) if t.kind[i] == ELEMENT)
-        if combinator == ">":
-            return (i for i in t.kids(n) if t.kind[i] == ELEMENT)
-        later = (i for i in t.kids(t.parent[n]) if i > n and t.kind[i] == ELEMENT)
-        return later if combinator == "~" else [i for i in [next(later, None)] if i is not None]
-
-    def relative(self, n: int, chain: Chain, k: int = 0) -> bool:
-        return any(self.compound(m, chain[k][1]) and (k + 1 == len(chain) or self.relative(m, chain, k + 1)) for m in self.after(n, chain[k][0]))
+        found = [self.matching(c) for c in parse_selector(selector)]
+        return [n for n in range(scope + 1, self.tree.last[scope] + 1) if any(f[n] for f in found)]
+
+    def matches(self, n: int, selector: str) -> bool:
+        """Whether an element is one that a selector selects."""
+        return any(self.matching(c)[n] for c in parse_selector(selector))
+
+    def matching(self, chain: Chain) -> bytearray:
+        """For each node, whether the chain ends there: one pass in document order for each compound."""
+        key = ("is", id(chain))
+        if key in self.kept:
+            return self.kept[key][0]
+        t, size = self.tree, len(self.tree)
+        ends = bytearray(size)
+        for k, (combinator, tests) in enumerate(chain):
+            before, ends = ends, bytearray(size)
+            reached = bytearray(size)  # an ancestor, or an earlier sibling, ends the chain so far
+            for n in range(1, size):
+                if k:
+                    at = t.parent[n] if combinator in (" ", ">") else self.place("prev_e")[n]
+                    if at is not None and at > 0:
+                        reached[n] = before[at] or (combinator in (" ", "~") and reached[at])
+                    if not reached[n]:
+                        continue
+                if t.kind[n] == ELEMENT and self.compound(n, tests):
+                    ends[n] = 1
+        self.kept[key] = (ends, chain)
+        return ends
+
+    def having(self, chain: Chain) -> bytearray:
+        """For each element, whether the relative chain leads on from it: one pass from the end for each compound."""
+        key = ("has", id(chain))
+        if key in self.kept:
+            return self.kept[key][0]
+        t, size = self.tree, len(self.tree)
+        leads = None
+        for combinator, tests in reversed(chain):
+            after, leads = leads, bytearray(size)
+            for n in range(size - 1, 0, -1):
+                if t.kind[n] != ELEMENT:
+                    continue
+                hit = (after is None or after[n]) and self.compound(n, tests)
+                at = t.parent[n] if combinator in (" ", ">") else self.place("prev_e")[n]
+                if at is not None and at > 0 and (hit or (combinator in (" ", "~") and leads[n])):
+                    leads[at] = 1
+        self.kept[key] = (leads, chain)
+        return leads
 
     def compound(self, n: int, tests: Compound) -> bool:
         return all(self.test(n, t) for t in tests)
@@ -310,8 +326,8 @@ class Matcher:
             i, count = self.place(i)[n], self.place(count)[n]
             return {"f": i == 1, "l": i == count, "o": count == 1}[t.name[0]]
         if t.kind in ("is", "not"):
-            return any(self.chain(n, c, len(c) - 1) for c in t.inner) == (t.kind == "is")
-        return t.kind == "has" and any(self.relative(n, c) for c in t.inner)
+            return any(self.matching(c)[n] for c in t.inner) == (t.kind == "is")
+        return t.kind == "has" and any(self.having(c)[n] for c in t.inner)
 
 
 def attribute_matches(have: str | None, t: Test) -> bool:

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from ..config import DEFAULT, Config
 from ..errors import ExtractError
 from ..functions import jsonmine
-from ..functions.htmltree import ELEMENT, Tree, parse, prettify, serialize
+from ..functions.htmltree import ELEMENT, Tree, parse, prettify, prettify_lines, serialize
 from ..functions.selectors import Matcher, parse_selector
 from ..functions.text import clean_plain
 from ..functions.urls import absolutize_text, page_urls
@@ -20,11 +20,11 @@ from ..functions.urls import absolutize_text, page_urls
 S = T.StringType()
 
 
-def per_page(pages: DataFrame, make: Callable[[Tree, str | None], list[tuple]], fields: T.StructType, id_col: str, html_col: str, url_col: str | None, config: Config) -> DataFrame:
-    """Rows of ``make(tree, url)`` for each page, with the page's id. A null page is an empty one."""
+def per_page(pages: DataFrame, make: Callable[[Tree, str | None], list[tuple]], fields: T.StructType, id_col: str, html_col: str, url_col: str | None, config: Config, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Rows of ``make(tree, url)`` for each page, with the page's id and the columns to ``keep``. A null page is an empty one."""
     url = F.col(url_col) if url_col else F.lit(None).cast("string")
-    rows = pages.select(F.col(id_col), F.col(html_col).alias("__html"), url.alias("__url"))
-    schema = T.StructType([rows.schema[id_col], *fields])
+    rows = pages.select(F.col(id_col), F.col(html_col).alias("a page"), url.alias("its url"), *keep)
+    schema = T.StructType([rows.schema[id_col], *fields, *(rows.schema[c] for c in keep)])
 
     def run(batches):
         import pyarrow as pa
@@ -37,8 +37,10 @@ def per_page(pages: DataFrame, make: Callable[[Tree, str | None], list[tuple]],
                 found = make(parse(html or "", config.legacy_entities), base)
                 out += found
                 ids += [i] * len(found)
-            columns = [batch.column(0).take(pa.array(ids, pa.int64()))]
-            columns += [pa.array([row[k] for row in out], f.type) for k, f in enumerate(list(arrow)[1:])]
+            of_page = pa.array(ids, pa.int64())
+            columns = [batch.column(0).take(of_page)]
+            columns += [pa.array([row[k] for row in out], f.type) for k, f in enumerate(list(arrow)[1 : 1 + len(fields)])]
+            columns += [batch.column(3 + k).take(of_page) for k in range(len(keep))]
             yield pa.RecordBatch.from_arrays(columns, schema=arrow)
 
     return rows.mapInArrow(run, schema)
@@ -48,8 +50,8 @@ def _op(fields: str):
     """Make an operator of a function (tree, base, **options) to rows."""
 
     def wrap(make):
-        def operator(pages: DataFrame, *, id_col: str = "page_id", html_col: str = "html", url_col: str | None = "url", config: Config = DEFAULT, **options) -> DataFrame:
-            return per_page(pages, lambda tree, base: make(tree, base, config=config, **options), T.StructType.fromDDL(fields), id_col, html_col, url_col, config)
+        def operator(pages: DataFrame, *, id_col: str = "page_id", html_col: str = "html", url_col: str | None = "url", config: Config = DEFAULT, keep: tuple[str, ...] = (), **options) -> DataFrame:
+            return per_page(pages, lambda tree, base: make(tree, base, config=config, **options), T.StructType.fromDDL(fields), id_col, html_col, url_col, config, keep)
 
         operator.__doc__ = make.__doc__
         operator.__name__ = make.__name__
@@ -90,7 +92,7 @@ def meta(tree, base, config):
     return [(title, next((tree.get(n, "href") for n in match.select("link[rel=canonical]")), None), said)]
 
 
-def grid(tree: Tree, table: int) -> list[list[str]]:
+def grid(tree: Tree, table: int, most: int = DEFAULT.max_span) -> list[list[str]]:
     """Cell texts with colspans repeated and rowspans carried down; rows of nested tables left out."""
     match = Matcher(tree)
     own = lambda n: next(p for p in _up(tree, n) if tree.tag[p] == "table") == table
@@ -109,8 +111,8 @@ def grid(tree: Tree, table: int) -> list[list[str]]:
                 continue
             pending()
             text = spoken(tree, c)
-            for _ in range(_span(tree.get(c, "colspan"))):
-                if (down := _span(tree.get(c, "rowspan"))) > 1:
+            for _ in range(_span(tree.get(c, "colspan"), most)):
+                if (down := _span(tree.get(c, "rowspan"), most)) > 1:
                     carry[len(row)] = (down - 1, text)
                 row.append(text)
         pending()
@@ -124,9 +126,10 @@ def _up(tree: Tree, n: int):
         yield n
 
 
-def _span(value: str | None) -> int:
+def _span(value: str | None, most: int) -> int:
+    """A span; ``most`` only keeps a hostile page from filling a task's memory."""
     try:
-        return min(1000, max(1, int(value or 1)))
+        return min(most, max(1, int(value or 1)))
     except ValueError:
         return 1
 
@@ -136,7 +139,7 @@ def tables(tree, base, config, selector="table", header_row=0):
     """Records of each table: headers from one row; blank ones become col_i, repeated ones get a suffix; blank rows drop."""
     out = []
     for k, n in enumerate(Matcher(tree).select(selector)):
-        rows = grid(tree, n)
+        rows = grid(tree, n, config.max_span)
         if len(rows) <= header_row:
             continue
         names: list[str] = []
@@ -195,6 +198,35 @@ def serialized(tree, base, config, selector=None):
     return [(prettify(tree, n), serialize(tree, n)) for n in (Matcher(tree).select(selector) if selector else [0])]
 
 
+@_op("pretty string")
+def prettified(tree, base, config):
+    """HTML with each node on a line, one space a level, attributes by name; as the common soup libraries print it."""
+    return [(prettify_lines(tree),)]
+
+
+@_op("head string, body string, title string")
+def head_and_body(tree, base, config):
+    """Compact HTML of the first head and body, null where there is none, and the stripped text of the first title."""
+    match = Matcher(tree)
+    first = lambda tag: next(iter(match.select(tag)), None)
+    html = lambda n: None if n is None else serialize(tree, n)
+    title = first("title")
+    return [(html(first("head")), html(first("body")), None if title is None else tree.text(title).strip())]
+
+
+def counts(pages: DataFrame, selectors: Mapping[str, str], *, id_col: str = "page_id", html_col: str = "html", config: Config = DEFAULT) -> DataFrame:
+    """A row per page with how many elements each selector selects, all in one parse."""
+    for s in selectors.values():
+        parse_selector(s)
+
+    def make(tree: Tree, _base) -> list[tuple]:
+        match = Matcher(tree)
+        return [tuple(len(match.select(s)) for s in selectors.values())]
+
+    fields = T.StructType([T.StructField(name, T.LongType()) for name in selectors])
+    return per_page(pages, make, fields, id_col, html_col, None, config)
+
+
 @_op("pos int, text string")
 def values(tree, base, config, selector, attr=None):
     """Cleaned texts, or an attribute, of the selected elements."""
@@ -230,27 +262,27 @@ def schema_struct(schema: Any) -> T.StructType:
     return T.StructType([T.StructField(k, schema_type(v)) for k, v in schema.items()])
 
 
-def field_value(tree: Tree, match: Matcher, n: int, base: str | None, spec: Any, config: Config) -> Any:
+def field_value(tree: Tree, match: Matcher, n: int, base: str | None, spec: Any, config: Config, clean: str = "plain") -> Any:
+    """A field's value; ``clean`` is what the specs around it ask for, unless it asks for something itself."""
     if spec is None:
         return None
     if isinstance(spec, str):
         spec = {"css": spec}
-    css = spec.get("select") or spec.get("css")
+    css, clean = spec.get("select") or spec.get("css"), spec.get("clean", clean)
     if "each" in spec:
-        return [record(tree, match, m, base, spec["each"], config) for m in match.select(css, n)]
+        return [record(tree, match, m, base, spec["each"], config, clean) for m in match.select(css, n)]
     if "fields" in spec:
         scope = next(iter(match.select(css, n)), None) if css else n
-        return record(tree, match, scope if scope is not None else n, base, spec["fields"], config)
+        return record(tree, match, scope if scope is not None else n, base, spec["fields"], config, clean)
     if spec.get("urls") or spec.get("type") == "urls":
         return [u for _, u in page_urls(tree, base, config)]
     found = match.select(css, n) if css else [n]
     if spec.get("all"):
-        return [element_value(tree, m, base, spec) for m in found]
-    return element_value(tree, found[0], base, spec) if found else spec.get("default") or ""
+        return [element_value(tree, m, base, spec, clean) for m in found]
+    return element_value(tree, found[0], base, spec, clean) if found else spec.get("default") or ""
 
 
-def element_value(tree: Tree, n: int, base: str | None, spec: Mapping) -> str:
-    clean = spec.get("clean", "plain")
+def element_value(tree: Tree, n: int, base: str | None, spec: Mapping, clean: str) -> str:
     names = spec.get("attr")
     if names:
         names = [names] if isinstance(names, str) else names
@@ -262,8 +294,8 @@ def element_value(tree: Tree, n: int, base: str | None, spec: Mapping) -> str:
     return value if clean in ("none", "raw") else clean_plain(value)
 
 
-def record(tree: Tree, match: Matcher, n: int, base: str | None, schema: Mapping, config: Config) -> dict:
-    return {k: field_value(tree, match, n, base, v, config) for k, v in schema.items()}
+def record(tree: Tree, match: Matcher, n: int, base: str | None, schema: Mapping, config: Config, clean: str = "plain") -> dict:
+    return {k: field_value(tree, match, n, base, v, config, clean) for k, v in schema.items()}
 
 
 def extract(pages: DataFrame, schema: Mapping, *, id_col: str = "page_id", html_col: str = "html", url_col: str | None = "url", config: Config = DEFAULT) -> DataFrame:

@@ -26,16 +26,37 @@ def cell(c: Column, kind: T.DataType, excel_safe: bool = False) -> Column:
     return F.when(out.rlike(r"^[=+\-@|]"), F.concat(F.lit("'"), out)).otherwise(out) if excel_safe else out
 
 
-def to_csv(df: DataFrame, delimiter: str = ",", excel_safe: bool = False, name: str = "line") -> DataFrame:
-    """Each row as one line; a cell is quoted only where it must be."""
+def to_csv(df: DataFrame, delimiter: str = ",", excel_safe: bool = False, name: str = "line", fieldnames: tuple[str, ...] | None = None, header: bool = False) -> DataFrame:
+    """Each row as one line; a cell is quoted only where it must be.
+
+    ``fieldnames`` chooses and orders the columns; names that ``df`` hasn't are empty.
+    ``header`` puts a line of the names first.
+    """
     if len(delimiter) != 1:
         raise FormatError("a delimiter is one character")
+    if fieldnames is not None:
+        df = df.select(*[F.col(f"`{c}`") if c in df.columns else F.lit(None).cast("string").alias(c) for c in fieldnames])
 
     def quoted(c: Column) -> Column:
         must = F.instr(c, delimiter) + F.instr(c, '"') + F.instr(c, "\n") + F.instr(c, "\r") > 0
         return F.when(must, F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(c)
 
-    return df.select(F.concat_ws(delimiter, *[quoted(cell(F.col(f"`{f.name}`"), f.dataType, excel_safe)) for f in df.schema]).alias(name))
+    lines = df.select(F.concat_ws(delimiter, *[quoted(cell(F.col(f"`{f.name}`"), f.dataType, excel_safe)) for f in df.schema]).alias(name))
+    if not header:
+        return lines
+    names = df.sparkSession.range(1).select(F.concat_ws(delimiter, *[quoted(F.lit(c)) for c in df.columns]).alias(name))
+    return names.union(lines)
+
+
+def pretty(df: DataFrame, name: str = "json") -> DataFrame:
+    """Each row as one indented JSON object, nulls included."""
+    return df.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": "false", "pretty": "true"}).alias(name))
+
+
+def to_records(df: DataFrame, keys: str) -> DataFrame:
+    """Rows of a map column as columns, by the union of the maps' keys in order of their names; a missing key is null."""
+    names = sorted(r[0] for r in df.select(F.explode(F.map_keys(keys))).distinct().collect())
+    return df.select(*[c for c in df.columns if c != keys], *[F.col(keys)[n].alias(n) for n in names])
 
 
 def to_tsv(df: DataFrame, **options) -> DataFrame:
@@ -48,7 +69,7 @@ def write_json(df: DataFrame, path: str) -> None:
 
 def write_csv(df: DataFrame, path: str, delimiter: str = ",", excel_safe: bool = False) -> None:
     flat = df.select(*[cell(F.col(f"`{f.name}`"), f.dataType, excel_safe).alias(f.name) for f in df.schema])
-    flat.write.option("header", True).option("sep", delimiter).option("quoteAll", False).option("emptyValue", "").csv(path)
+    flat.write.option("header", True).option("sep", delimiter).option("escape", '"').option("emptyValue", "").csv(path)
 
 
 def phase(start: Column, end: Column) -> Column:
@@ -100,16 +121,24 @@ def har(entries: DataFrame, by: str, title: Column, started: str = "started") ->
     return listed.select(by, F.concat(F.lit('{"log":{"version":"1.2","creator":{"name":"pagewright","version":"1"},"pages":['), head, F.lit('],"entries":['), F.col("entries"), F.lit("]}}")).alias("har"))
 
 
-COOKIES = "domain string, subdomains string, path string, secure string, expires bigint, name string, value string"
-
-
 def read_cookies(spark, path: str) -> DataFrame:
-    """Rows of cookies.txt files: seven fields by tabs; comments skipped; expiry 0 is a session (null)."""
-    rows = spark.read.schema(COOKIES).option("sep", "\t").option("comment", "#").option("mode", "DROPMALFORMED").csv(path)
-    return rows.withColumns({"subdomains": F.col("subdomains") == "TRUE", "secure": F.col("secure") == "TRUE", "expires": F.nullif(F.col("expires"), F.lit(0))})
+    """Rows of cookies.txt files: seven fields by tabs; comments and other lines skipped; expiry 0 is a session (null).
+
+    A domain after ``#HttpOnly_`` is one that scripts can't read. Values keep their quotes.
+    """
+    mark = "#HttpOnly_"
+    lines = spark.read.text(path).select(F.rtrim(F.regexp_replace("value", r"\r$", "")).alias("line"), F.col("value").startswith(mark).alias("http_only"))
+    lines = lines.select(F.regexp_replace("line", f"^{mark}", "").alias("line"), "http_only").where(~F.col("line").startswith("#"))
+    parts = lines.select(F.split("line", "\t", 7).alias("p"), "http_only").where("size(p) >= 6")
+    at = lambda i: F.get("p", F.lit(i))
+    return parts.select(
+        at(0).alias("domain"), (F.upper(at(1)) == "TRUE").alias("subdomains"), at(2).alias("path"), (F.upper(at(3)) == "TRUE").alias("secure"),
+        F.nullif(at(4).try_cast("double").cast("bigint"), F.lit(0)).alias("expires"), at(5).alias("name"), F.coalesce(at(6), F.lit("")).alias("value"), "http_only",
+    )
 
 
 def cookie_lines(df: DataFrame) -> DataFrame:
     """cookies.txt lines of rows as ``read_cookies`` gives them."""
     yes = lambda c: F.when(F.col(c), "TRUE").otherwise("FALSE")
-    return df.select(F.concat_ws("\t", "domain", yes("subdomains"), "path", yes("secure"), F.coalesce("expires", F.lit(0)).cast("string"), "name", "value").alias("value"))
+    domain = F.when(F.col("http_only"), F.concat(F.lit("#HttpOnly_"), "domain")).otherwise(F.col("domain")) if "http_only" in df.columns else F.col("domain")
+    return df.select(F.concat_ws("\t", domain, yes("subdomains"), "path", yes("secure"), F.coalesce("expires", F.lit(0)).cast("string"), "name", "value").alias("value"))

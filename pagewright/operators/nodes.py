@@ -1,249 +1,323 @@
-"""Pages as a table of nodes, and selectors and navigation as plans over it.
+"""Nodes of pages: selecting, searching, navigating and editing, each in one parse of a page.
 
-``nodes`` parses each page once, inside its input partition. A selector becomes filters
-for its simple tests and joins on the page for its combinators. For results that need
-many selectors of a page at once, ``operators.extract`` is cheaper, as it never shuffles.
+Every operator here is a single pass over the pages, inside their input partitions: a page
+is parsed once, the whole selector or search is evaluated on its tree, and only what was
+asked for leaves the task. Nothing is joined, so pages that share an id, or have none, are
+never mixed up, and nothing is shuffled.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable, Iterable, Iterator
 
-from pyspark.sql import Column, DataFrame, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from ..config import DEFAULT, Config
-from ..functions.htmltree import parse, sibling_numbers
-from ..functions.selectors import Chain, Compound, Test, parse_selector
-
-_SPACE = r"[\x{9}-\x{d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
-NODES = T.StructType(
-    [T.StructField("nid", T.IntegerType()), T.StructField("pid", T.IntegerType()), T.StructField("last", T.IntegerType()), T.StructField("depth", T.IntegerType())]
-    + [T.StructField(c, T.StringType()) for c in ("kind", "tag")]
-    + [T.StructField("attrs", T.MapType(T.StringType(), T.StringType())), T.StructField("attr_names", T.ArrayType(T.StringType())), T.StructField("data", T.StringType())]
-    + [T.StructField(c, T.IntegerType()) for c in ("sib", "eidx", "ecnt", "tidx", "tcnt", "prev_e")]
-    + [T.StructField("bare", T.BooleanType())]
+from ..errors import SelectorError
+from ..functions.htmltree import COMMENT, DOCUMENT, ELEMENT, TEXT, Tree, parse, serialize, sibling_numbers
+from ..functions.selectors import Matcher, parse_selector
+from .extract import per_page
+
+NODES = (
+    "nid int, pid int, last int, depth int, kind string, tag string, attrs map<string,string>, attr_names array<string>, data string, "
+    "sib int, eidx int, ecnt int, tidx int, tcnt int, prev_e int, bare boolean"
 )
+PLACES = ("sib", "eidx", "ecnt", "tidx", "tcnt", "prev_e", "bare")
+#: What is said of a node that a search found.
+FOUND = "nid int, pid int, depth int, kind string, tag string, attrs map<string,string>, text string"
 
 
 def nodes(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", config: Config = DEFAULT) -> DataFrame:
-    """One row per node: (doc_id, nid, pid, last, depth, kind, tag, attrs, data, places among siblings).
+    """One row per node: (id, nid, pid, last, depth, kind, tag, attrs, attr_names, data, places among siblings).
 
-    Node 0 is the document. A null page gives no rows. Attributes keep their order in
-    ``attr_names``. Pages are parsed in their own partitions, without a shuffle.
+    Node 0 is the document; a null page has only that. Attributes keep their order in ``attr_names``.
     """
-    rows = pages.select(F.col(id_col).alias("doc_id"), F.col(html_col).alias("html")).where("html is not null")
-    schema = T.StructType([T.StructField("doc_id", rows.schema["doc_id"].dataType), *NODES.fields])
-
-    def run(batches):
-        import pyarrow as pa
-        from pyspark.sql.pandas.types import to_arrow_schema
-
-        arrow = to_arrow_schema(schema)
-        for batch in batches:
-            for i in range(batch.num_rows):
-                tree = parse(batch.column(1)[i].as_py(), config.legacy_entities)
-                at = sibling_numbers(tree)
-                n = len(tree)
-                columns = [
-                    pa.repeat(batch.column(0)[i], n), range(n), tree.parent, tree.last, tree.depth, tree.kind, tree.tag, tree.attrs,
-                    [[k for k, _ in a] for a in tree.attrs], tree.data, *(at[c] for c in ("sib", "eidx", "ecnt", "tidx", "tcnt", "prev_e", "bare")),
-                ]
-                yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
-
-    return rows.mapInArrow(run, schema)
-
-
-def attribute(name: str) -> Column:
-    return F.col("attrs")[F.lit(name.lower())]
-
-
-def simple(t: Test) -> Column | None:
-    """A test as a predicate over a node's own row, or None if it needs other rows."""
-    if t.kind == "never":
-        return F.lit(False)
-    if t.kind == "tag":
-        return F.col("tag") == t.name
-    if t.kind == "id":
-        return F.coalesce(attribute("id") == t.value, F.lit(False))
-    if t.kind == "class":
-        return F.coalesce(F.array_contains(F.split(attribute("class"), _SPACE), t.value), F.lit(False))
-    if t.kind == "attr":
-        have, want = attribute(t.name), t.value.lower() if t.fold else t.value
-        have = F.lower(have) if t.fold else have
-        tests = {
-            "": lambda: have.isNotNull(), "=": lambda: have == want, "^=": lambda: have.startswith(want), "$=": lambda: have.endswith(want),
-            "*=": lambda: have.contains(want), "~=": lambda: F.array_contains(F.split(have, _SPACE), want), "|=": lambda: (have == want) | have.startswith(want + "-"),
-        }
-        if not want and t.op in ("^=", "$=", "*=", "~="):
-            return F.lit(False)
-        return F.coalesce(tests[t.op](), F.lit(False))
-    if t.kind in ("nth", "place"):
-        i, n = (F.col("tidx"), F.col("tcnt")) if "type" in t.name else (F.col("eidx"), F.col("ecnt"))
-        if t.kind == "place":
-            return {
-                "empty": F.col("bare"), "root": F.col("pid") == 0, "first": i == 1, "last": i == n, "only": n == 1,
-            }[t.name.split("-")[0]]
-        a, b = t.nth
-        i = n - i + 1 if "last" in t.name else i
-        return i == b if a == 0 else (F.pmod(i - b, F.lit(abs(a))) == 0) & ((i - b) * (1 if a > 0 else -1) >= 0)
-    if t.kind in ("is", "not") and all(len(c) == 1 for c in t.inner):
-        alternatives = [every([simple(x) for x in c[0][1]]) for c in t.inner]
-        if all(a is not None for a in alternatives):
-            any_of = alternatives[0]
-            for a in alternatives[1:]:
-                any_of = any_of | a
-            return any_of if t.kind == "is" else ~any_of
-    return None
-
-
-def every(predicates: list[Column | None]) -> Column | None:
-    out = F.lit(True)
-    for p in predicates:
-        if p is None:
-            return None
-        out = out & p
-    return out
-
-
-def compound(table: DataFrame, tests: Compound) -> DataFrame:
-    """Elements that pass all tests; nested selectors become semi and anti joins on (doc_id, nid)."""
-    rows = table.where(F.col("kind") == "element")
-    for t in tests:
-        predicate = simple(t)
-        if predicate is not None:
-            rows = rows.where(predicate)
-        elif t.kind == "has":
-            rows = rows.join(union([relative(table, c) for c in t.inner]), ["doc_id", "nid"], "left_semi")
-        else:
-            rows = rows.join(union([chain(table, c) for c in t.inner]).select("doc_id", "nid"), ["doc_id", "nid"], "left_semi" if t.kind == "is" else "left_anti")
-    return rows
-
-
-def union(parts: list[DataFrame]) -> DataFrame:
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
-def related(before: DataFrame, rows: DataFrame, combinator: str, keep: str) -> DataFrame:
-    """Rows of ``rows`` that stand in relation to one of ``before``, or the reverse (``keep``)."""
-    a = before.select(F.col("doc_id").alias("a_doc"), *[F.col(c).alias(f"a_{c}") for c in ("nid", "last", "pid", "eidx")])
-    on = (F.col("doc_id") == F.col("a_doc")) & {
-        " ": (F.col("nid") > F.col("a_nid")) & (F.col("nid") <= F.col("a_last")),
-        ">": F.col("pid") == F.col("a_nid"),
-        "+": F.col("prev_e") == F.col("a_nid"),
-        "~": (F.col("pid") == F.col("a_pid")) & (F.col("eidx") > F.col("a_eidx")),
-    }[combinator]
-    if keep == "rows":
-        return rows.join(a, on, "left_semi")
-    other = rows.select(*[F.col(c).alias(f"b_{c}") for c in ("doc_id", "nid", "pid", "prev_e", "eidx")])
-    on = (F.col("doc_id") == F.col("b_doc_id")) & {
-        " ": (F.col("b_nid") > F.col("nid")) & (F.col("b_nid") <= F.col("last")),
-        ">": F.col("b_pid") == F.col("nid"),
-        "+": F.col("b_prev_e") == F.col("nid"),
-        "~": (F.col("b_pid") == F.col("pid")) & (F.col("b_eidx") > F.col("eidx")),
-    }[combinator]
-    return before.join(other, on, "left_semi")
-
-
-def descendants_of(before: DataFrame, rows: DataFrame) -> DataFrame:
-    """Rows below one of ``before``: a running maximum of the intervals' ends, instead of a range join."""
-    both = before.select("doc_id", "nid", "last", F.lit(0).alias("wanted")).unionByName(rows.select("doc_id", "nid", F.lit(-1).alias("last"), F.lit(1).alias("wanted")))
-    earlier = Window.partitionBy("doc_id").orderBy("nid").rangeBetween(Window.unboundedPreceding, -1)
-    below = both.withColumn("reach", F.max("last").over(earlier)).where((F.col("wanted") == 1) & (F.col("reach") >= F.col("nid")))
-    return rows.join(below.select("doc_id", "nid"), ["doc_id", "nid"], "left_semi")
-
-
-def chain(table: DataFrame, parts: Chain) -> DataFrame:
-    found = compound(table, parts[0][1])
-    for combinator, tests in parts[1:]:
-        rows = compound(table, tests)
-        found = descendants_of(found, rows) if combinator == " " else related(found, rows, combinator, "rows")
-    return found
-
-
-def relative(table: DataFrame, parts: Chain) -> DataFrame:
-    """(doc_id, nid) of the elements that a relative selector holds for."""
-    found = compound(table, parts[-1][1])
-    for i in range(len(parts) - 1, -1, -1):
-        before = compound(table, parts[i - 1][1]) if i else table.where(F.col("kind") == "element")
-        found = related(before, found, parts[i][0], "before")
-    return found.select("doc_id", "nid")
-
-
-def select(table: DataFrame, selector: str) -> DataFrame:
-    """The elements that a selector selects; each once. SelectorError if it is malformed."""
-    chains = parse_selector(selector)
-    if len(chains) == 1:
-        return chain(table, chains[0])
-    hits = union([chain(table, c).select("doc_id", "nid") for c in chains]).distinct()
-    return table.join(hits, ["doc_id", "nid"], "left_semi")
-
-
-def with_text(found: DataFrame, table: DataFrame, sep: str = " ", strip: bool = True, name: str = "text") -> DataFrame:
-    """Add the text of each element's subtree, in document order; ``strip`` drops blank pieces."""
-    trim = lambda c: F.regexp_replace(c, f"^{_SPACE}|{_SPACE}$", "")
-    pieces = table.where(F.col("kind") == "text").select(F.col("doc_id").alias("t_doc"), F.col("nid").alias("t_nid"), (trim(F.col("data")) if strip else F.col("data")).alias("t_data"))
-    pieces = pieces.where(F.col("t_data") != "")
-    inside = (F.col("doc_id") == F.col("t_doc")) & (F.col("t_nid") > F.col("nid")) & (F.col("t_nid") <= F.col("last"))
-    joined = found.select("doc_id", "nid", "last").join(pieces, inside)
-    texts = joined.groupBy("doc_id", "nid").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("t_nid", "t_data"))), lambda x: x["t_data"]), sep).alias(name))
-    return found.join(texts, ["doc_id", "nid"], "left").withColumn(name, F.coalesce(name, F.lit("")))
-
-
-def siblings(found: DataFrame) -> DataFrame:
-    """Add the numbers of each node's neighbours among its siblings."""
-    w = Window.partitionBy("doc_id", "pid").orderBy("sib")
-    return found.withColumns({"next_sibling": F.lead("nid").over(w), "previous_sibling": F.lag("nid").over(w)})
-
-
-def parents(found: DataFrame, table: DataFrame) -> DataFrame:
-    """(doc_id, nid, ancestor, level) of each element's ancestors, nearest at level 1, without the document."""
-    a = table.where(F.col("kind") == "element").select(F.col("doc_id").alias("a_doc"), F.col("nid").alias("ancestor"), F.col("last").alias("a_last"), F.col("depth").alias("a_depth"))
-    on = (F.col("doc_id") == F.col("a_doc")) & (F.col("ancestor") < F.col("nid")) & (F.col("nid") <= F.col("a_last"))
-    return found.join(a, on).select("doc_id", "nid", "ancestor", (F.col("depth") - F.col("a_depth")).alias("level"))
-
-
-def find_all(table: DataFrame, tag: str | list[str] | None = None, attrs: dict | None = None, string: str | None = None, limit: int | None = None) -> DataFrame:
-    """Elements by tag, attributes (a value, True for present, or a list) and pattern of direct text.
-
-    ``limit`` keeps the first so many of each page; none of them if it isn't positive.
+
+    def make(tree: Tree, _base) -> list[tuple]:
+        at = sibling_numbers(tree)
+        places = [at[c] for c in PLACES]
+        names = [[k for k, _ in a] for a in tree.attrs]
+        return list(zip(range(len(tree)), tree.parent, tree.last, tree.depth, tree.kind, tree.tag, [list(a) for a in tree.attrs], names, tree.data, *places, strict=True))
+
+    return per_page(pages, make, T.StructType.fromDDL(NODES), id_col, html_col, None, config)
+
+
+def said(tree: Tree, n: int, sep: str, strip: bool) -> tuple:
+    text = tree.text(n, sep, strip) if tree.kind[n] in (ELEMENT, DOCUMENT) else tree.data[n]
+    return n, tree.parent[n], tree.depth[n], tree.kind[n], tree.tag[n], list(tree.attrs[n]), text
+
+
+def found_rows(pages: DataFrame, find: Callable[[Tree, Matcher], Iterable[int]], sep: str, strip: bool, id_col: str, html_col: str, config: Config) -> DataFrame:
+    def make(tree: Tree, _base) -> list[tuple]:
+        return [(i, *said(tree, n, sep, strip)) for i, n in enumerate(find(tree, Matcher(tree)))]
+
+    return per_page(pages, make, T.StructType.fromDDL(f"pos int, {FOUND}"), id_col, html_col, None, config)
+
+
+def select(pages: DataFrame, selector: str, *, sep: str = " ", strip: bool = True, id_col: str = "page_id", html_col: str = "html", config: Config = DEFAULT) -> DataFrame:
+    """The elements that a selector selects, in document order, with the text of their subtrees; ``strip`` drops blank pieces.
+
+    SelectorError if the selector is malformed.
     """
-    rows = table.where(F.col("kind") == "element")
-    if tag is not None:
-        rows = rows.where(F.col("tag").isin([tag.lower()] if isinstance(tag, str) else [t.lower() for t in tag]))
-    for name, value in (attrs or {}).items():
-        have = attribute(name.rstrip("_"))
-        tokens = F.split(have, _SPACE)
-        if value is True:
-            rows = rows.where(have.isNotNull())
-        elif isinstance(value, (list, tuple)):
-            rows = rows.where(F.arrays_overlap(tokens, F.array(*map(F.lit, value))) if name.rstrip("_") == "class" else have.isin(list(value)))
+    parse_selector(selector)
+    return found_rows(pages, lambda _, match: match.select(selector), sep, strip, id_col, html_col, config)
+
+
+def matches(pages: DataFrame, selector: str, other: str, *, id_col: str = "page_id", html_col: str = "html", config: Config = DEFAULT) -> DataFrame:
+    """(id, pos, nid, matches) of the selected elements: whether each is also one that ``other`` selects."""
+    parse_selector(selector)
+    parse_selector(other)
+
+    def make(tree: Tree, _base) -> list[tuple]:
+        match = Matcher(tree)
+        return [(i, n, match.matches(n, other)) for i, n in enumerate(match.select(selector))]
+
+    return per_page(pages, make, T.StructType.fromDDL("pos int, nid int, matches boolean"), id_col, html_col, None, config)
+
+
+def fits(value: str | None, want) -> bool:
+    """Whether a text is as wanted: True for any, None for absent, a pattern, a callable, a list of these, or the text itself."""
+    if want is None:
+        return value is None
+    if isinstance(want, (list, tuple, set, frozenset)):
+        return any(fits(value, w) for w in want)
+    if callable(want):
+        return bool(want(value))
+    if value is None:
+        return False
+    if want is True:
+        return True
+    return bool(want.search(value)) if isinstance(want, re.Pattern) else value == str(want)
+
+
+def wanted(tag=None, attrs: dict | None = None, string=None) -> Callable[[Tree, int], bool]:
+    """A test for elements by tag, attributes and the one string that they hold."""
+    tag = tag.lower() if isinstance(tag, str) else tag
+    asked = [(k.lower().rstrip("_"), v) for k, v in (attrs or {}).items()]
+
+    def attribute(tree: Tree, n: int, name: str, want) -> bool:
+        have = tree.get(n, name)
+        if name != "class" or have is None or want is None:
+            return fits(have, want)
+        return any(fits(c, want) for c in [*have.split(), have])
+
+    def only_string(tree: Tree, n: int) -> str | None:
+        while len(kids := tree.kids(n)) == 1:
+            if tree.kind[kids[0]] == TEXT:
+                return tree.data[kids[0]]
+            n = kids[0]
+        return None
+
+    def test(tree: Tree, n: int) -> bool:
+        if tree.kind[n] != ELEMENT or (tag is not None and not fits(tree.tag[n], tag)):
+            return False
+        return all(attribute(tree, n, k, v) for k, v in asked) and (string is None or fits(only_string(tree, n), string))
+
+    return test
+
+
+def find_all(
+    pages: DataFrame, tag=None, attrs: dict | None = None, string=None, limit: int | None = None, recursive: bool = True, *, sep: str = " ", strip: bool = True,
+    id_col: str = "page_id", html_col: str = "html", config: Config = DEFAULT,
+) -> DataFrame:
+    """Elements by tag, attributes and their one string; each a text, pattern, callable, True for any, or a list of these.
+
+    A class is matched by each of its words and by the whole. Without ``recursive``, only
+    top elements are looked at. ``limit`` keeps the first so many of each page; none of them if it isn't positive.
+    """
+    test = wanted(tag, attrs, string)
+
+    def find(tree: Tree, _match) -> list[int]:
+        hits = (n for n in (range(1, len(tree)) if recursive else tree.kids(0)) if test(tree, n))
+        return list(hits) if limit is None else [n for n, _ in zip(hits, range(max(0, limit)), strict=False)]
+
+    return found_rows(pages, find, sep, strip, id_col, html_col, config)
+
+
+def around(tree: Tree, n: int, axis: str) -> Iterator[int]:
+    """Nodes that stand in a relation to one, nearest first."""
+    siblings = tree.kids(tree.parent[n]) if n else []
+    walks = {
+        "parents": lambda: up(tree, n),
+        "children": lambda: iter(tree.kids(n)),
+        "descendants": lambda: iter(range(n + 1, tree.last[n] + 1)),
+        "next_elements": lambda: iter(range(n + 1, len(tree))),
+        "previous_elements": lambda: iter(range(n - 1, 0, -1)),
+        "next_siblings": lambda: (k for k in siblings if k > n),
+        "previous_siblings": lambda: (k for k in reversed(siblings) if k < n),
+    }
+    return walks[axis]()
+
+
+def up(tree: Tree, n: int) -> Iterator[int]:
+    while (n := tree.parent[n]) > 0:
+        yield n
+
+
+AXES = ("parents", "children", "descendants", "next_elements", "previous_elements", "next_siblings", "previous_siblings")
+
+
+def navigate(
+    pages: DataFrame, selector: str, axis: str, tag=None, attrs: dict | None = None, string=None, limit: int | None = None, every_kind: bool = False, *,
+    sep: str = " ", strip: bool = True, id_col: str = "page_id", html_col: str = "html", config: Config = DEFAULT,
+) -> DataFrame:
+    """What stands around each selected element: (id, pos of the element, step from 1, found node).
+
+    ``axis`` is one of AXES; nodes come nearest first. They are filtered as in ``find_all``,
+    and ``limit`` counts those that fit; with ``every_kind``, texts and comments count, too,
+    and nothing is filtered. ``next_elements`` holds an element's own descendants, and
+    ``previous_elements`` its ancestors, as both go by the order of the document.
+    """
+    parse_selector(selector)
+    if axis not in AXES:
+        raise SelectorError(f"an axis is one of {', '.join(AXES)}")
+    test = (lambda tree, n: True) if every_kind else wanted(tag, attrs, string)
+
+    def make(tree: Tree, _base) -> list[tuple]:
+        out = []
+        for i, n in enumerate(Matcher(tree).select(selector)):
+            hits = (m for m in around(tree, n, axis) if test(tree, m))
+            steps = enumerate(hits, 1) if limit is None else zip(range(1, max(0, limit) + 1), hits, strict=False)
+            out += [(i, k, *said(tree, m, sep, strip)) for k, m in steps]
+        return out
+
+    return per_page(pages, make, T.StructType.fromDDL(f"pos int, step int, {FOUND}"), id_col, html_col, None, config)
+
+
+class Draft:
+    """A tree that can be changed: lists of children instead of numbers in document order."""
+
+    def __init__(self, tree: Tree) -> None:
+        n = len(tree)
+        self.kind, self.tag, self.data = [*tree.kind], [*tree.tag], [*tree.data]
+        self.attrs = [list(a) for a in tree.attrs]
+        self.kids = [[*tree.kids(i)] for i in range(n)]
+        self.parent = [*tree.parent]
+
+    def add(self, kind: str, tag: str = "", attrs: Iterable = (), data: str = "") -> int:
+        for column, value in ((self.kind, kind), (self.tag, tag), (self.data, data), (self.attrs, list(attrs)), (self.kids, []), (self.parent, -1)):
+            column.append(value)
+        return len(self.kind) - 1
+
+    def fragment(self, html: str, config: Config) -> list[int]:
+        """The top nodes of a parsed piece of HTML."""
+        tree = parse(html, config.legacy_entities)
+        own = [0] + [self.add(tree.kind[i], tree.tag[i], tree.attrs[i], tree.data[i]) for i in range(1, len(tree))]
+        for i in range(1, len(tree)):
+            self.set_children(own[i], [own[k] for k in tree.kids(i)])
+        return [own[k] for k in tree.kids(0)]
+
+    def set_children(self, n: int, kids: list[int]) -> None:
+        self.kids[n] = kids
+        for k in kids:
+            self.parent[k] = n
+
+    def replace(self, n: int, by: list[int]) -> None:
+        """Put nodes in the place of one; without nodes, take it away."""
+        p = self.parent[n]
+        if p >= 0 and n in self.kids[p]:
+            at = self.kids[p].index(n)
+            self.set_children(p, [*self.kids[p][:at], *by, *self.kids[p][at + 1 :]])
+            if n not in by:
+                self.parent[n] = -1
+
+    def tree(self) -> Tree:
+        """The tree as it is now, numbered anew."""
+        out, todo = Tree(), [(k, 0) for k in reversed(self.kids[0])]
+        while todo:
+            i, parent = todo.pop()
+            n = out.add(self.kind[i], self.tag[i], tuple(self.attrs[i]), self.data[i], parent)
+            todo.extend((k, n) for k in reversed(self.kids[i]))
+        for n in range(len(out) - 1, 0, -1):
+            out.last[out.parent[n]] = max(out.last[out.parent[n]], out.last[n])
+        return out
+
+
+#: An edit's name, and what it needs besides the selector.
+EDITS = {
+    "remove": 0, "clear": 0, "unwrap": 0, "rename": 1, "set": 2, "unset": 1, "text": 1, "replace": 1, "wrap": 1, "append": 1, "prepend": 1, "before": 1, "after": 1,
+}
+
+
+def change(draft: Draft, n: int, name: str, args: tuple, config: Config) -> None:
+    """Do one edit at one element."""
+    if name in ("remove", "clear", "unwrap", "text"):
+        if name in ("clear", "text"):
+            draft.set_children(n, [draft.add(TEXT, data=args[0])] if name == "text" and args[0] else [])
         else:
-            rows = rows.where(F.array_contains(tokens, value) | (have == value) if name.rstrip("_") == "class" else have == value)
-    if string is not None:
-        own = table.where(F.col("kind") == "text").groupBy("doc_id", F.col("pid").alias("nid")).agg(
-            F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("sib", "data"))), lambda x: x["data"]), "").alias("own")
-        )
-        rows = rows.join(own.where(F.col("own").rlike(string)).select("doc_id", "nid"), ["doc_id", "nid"], "left_semi")
-    if limit is not None:
-        rows = rows.withColumn("__n", F.row_number().over(Window.partitionBy("doc_id").orderBy("nid"))).where(F.col("__n") <= limit).drop("__n")
-    return rows
-
-
-def without(table: DataFrame, selector: str) -> DataFrame:
-    """The nodes that are left when the selected subtrees are taken away."""
-    gone = select(table, selector)
-    inside = descendants_of(gone, table).select("doc_id", "nid").unionByName(gone.select("doc_id", "nid"))
-    return table.join(inside, ["doc_id", "nid"], "left_anti")
-
-
-def unwrap(table: DataFrame, selector: str) -> DataFrame:
-    """Take selected elements away and give their children to the nearest parent that stays."""
-    gone = select(table, selector).select(F.col("doc_id").alias("g_doc"), F.col("nid").alias("g_nid"))
-    kept = table.join(gone, (F.col("doc_id") == F.col("g_doc")) & (F.col("nid") == F.col("g_nid")), "left_anti")
-    above = parents(kept.select("doc_id", "nid", "depth"), table).join(gone, (F.col("doc_id") == F.col("g_doc")) & (F.col("ancestor") == F.col("g_nid")), "left_anti")
-    nearest = above.groupBy("doc_id", "nid").agg(F.min_by("ancestor", "level").alias("__p"))
-    return kept.join(nearest, ["doc_id", "nid"], "left").withColumn("pid", F.when(F.col("nid") > 0, F.coalesce("__p", F.lit(0))).otherwise(F.col("pid"))).drop("__p")
+            draft.replace(n, [] if name == "remove" else draft.kids[n])
+    elif name == "rename":
+        draft.tag[n] = args[0].lower()
+    elif name in ("set", "unset"):
+        key = args[0].lower()
+        kept = [(k, args[1] if k == key and name == "set" else v) for k, v in draft.attrs[n] if name == "set" or k != key]
+        draft.attrs[n] = kept if name == "unset" or any(k == key for k, _ in kept) else [*kept, (key, args[1])]
+    else:
+        made = draft.fragment(args[0], config)
+        if name == "wrap":
+            if made and draft.kind[made[0]] == ELEMENT:
+                draft.replace(n, made[:1])
+                draft.set_children(made[0], [*draft.kids[made[0]], n])
+        elif name == "replace":
+            draft.replace(n, made)
+        elif name in ("append", "prepend"):
+            draft.set_children(n, [*draft.kids[n], *made] if name == "append" else [*made, *draft.kids[n]])
+        else:
+            draft.replace(n, [*made, n] if name == "before" else [n, *made])
+
+
+def edited(tree: Tree, steps: list[tuple], config: Config = DEFAULT) -> Tree:
+    for name, selector, *args in steps:
+        found = Matcher(tree).select(selector)
+        draft = Draft(tree)
+        for n in found:
+            if draft.parent[n] >= 0:  # an earlier edit may have taken it away
+                change(draft, n, name, tuple(args), config)
+        tree = draft.tree()
+    return tree
+
+
+def edit(pages: DataFrame, steps: list[tuple], *, id_col: str = "page_id", html_col: str = "html", config: Config = DEFAULT) -> DataFrame:
+    """Pages after edits: (id, html compact, text, n_elements).
+
+    A step is (name, selector, what the edit needs), see EDITS: tags for ``rename``, an
+    attribute and its value for ``set``, HTML for those that put something in. Each step
+    sees what the one before left. SelectorError for an unknown edit or a malformed selector.
+    """
+    for name, selector, *args in steps:
+        parse_selector(selector)
+        if EDITS.get(name) != len(args):
+            raise SelectorError(f"no edit {name!r} with {len(args)} arguments")
+
+    def make(tree: Tree, _base) -> list[tuple]:
+        out = edited(tree, steps, config)
+        return [(serialize(out), out.text(), sum(k == ELEMENT for k in out.kind))]
+
+    return per_page(pages, make, T.StructType.fromDDL("html string, text string, n_elements int"), id_col, html_col, None, config)
+
+
+def without(pages: DataFrame, selector: str, **options) -> DataFrame:
+    """Pages without the selected subtrees, as ``edit`` gives them."""
+    return edit(pages, [("remove", selector)], **options)
+
+
+def unwrap(pages: DataFrame, selector: str, **options) -> DataFrame:
+    """Pages whose selected elements gave way to their children."""
+    return edit(pages, [("unwrap", selector)], **options)
+
+
+def strings(pages: DataFrame, selector: str | None = None, *, kinds: tuple[str, ...] = (TEXT,), strip: bool = False, id_col: str = "page_id", html_col: str = "html", config: Config = DEFAULT) -> DataFrame:
+    """(id, pos, kind, string) of the texts, and comments if asked for, of a page or of its selected elements; ``strip`` drops blank ones."""
+    if selector:
+        parse_selector(selector)
+    if set(kinds) - {TEXT, COMMENT}:
+        raise SelectorError("strings are of texts or comments")
+
+    def make(tree: Tree, _base) -> list[tuple]:
+        scopes = Matcher(tree).select(selector) if selector else [0]
+        found = [(tree.kind[i], tree.data[i].strip() if strip else tree.data[i]) for n in scopes for i in range(n, tree.last[n] + 1) if tree.kind[i] in kinds]
+        return [(i, *f) for i, f in enumerate(f for f in found if f[1] or not strip)]
+
+    return per_page(pages, make, T.StructType.fromDDL("pos int, kind string, string string"), id_col, html_col, None, config)

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import text, urls
+from ..functions import requests, text, urls
 from ..operators import extract, formats, netlog, nodes
+from ..streaming.pages import event_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -38,10 +40,6 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages")
 
 
-def dom(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nodes.nodes(pages(spark, sf_dir))
-
-
 @query(f"SELECT page_id, i::INT AS pos, {_TEXT.format('t')} AS text, href FROM ({_LINKS})")
 def links(spark, sf_dir):
     return extract.links(pages(spark, sf_dir))
@@ -73,28 +71,26 @@ def url_kind(spark, sf_dir):
 
 @query(f"SELECT page_id, i::INT AS pos, CASE WHEN href LIKE '/%' THEN regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) || href ELSE href END AS url FROM ({_LINKS})")
 def abs_links(spark, sf_dir):
-    p = pages(spark, sf_dir)
-    found = extract.links(p).join(p.select("page_id", F.col("url").alias("base")), "page_id")
-    return found.select("page_id", "pos", urls.absolutize(F.col("href"), F.col("base")).alias("url"))
+    found = extract.links(pages(spark, sf_dir), url_col=None, keep=("url",))
+    return found.select("page_id", "pos", urls.absolutize(F.col("href"), F.col("url")).alias("url"))
 
 
 @query(f"SELECT h AS host, count(*) AS n_links, count(DISTINCT href) AS n_targets FROM (SELECT *, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS h FROM ({_LINKS})) GROUP BY h")
 def link_hosts(spark, sf_dir):
-    p = pages(spark, sf_dir)
-    found = extract.links(p).join(p.select("page_id", urls.parts(F.col("url"))["host"].alias("host")), "page_id")
+    found = extract.links(pages(spark, sf_dir), url_col=None, keep=("url",)).withColumn("host", urls.parts(F.col("url"))["host"])
     return found.groupBy("host").agg(F.count(F.lit(1)).alias("n_links"), F.countDistinct("href").alias("n_targets"))
 
 
 @query("""SELECT tag, count(*) AS n FROM (SELECT UNNEST(regexp_extract_all(regexp_replace(html, '<script>.*?</script>', '<script>', 'gs'), '<([a-z][a-z0-9]*)', 1)) AS tag FROM pages) GROUP BY tag""")
 def tag_histogram(spark, sf_dir):
-    return dom(spark, sf_dir).where("kind = 'element'").groupBy("tag").agg(F.count(F.lit(1)).alias("n"))
+    return nodes.nodes(pages(spark, sf_dir)).where("kind = 'element'").groupBy("tag").agg(F.count(F.lit(1)).alias("n"))
 
 
 def selected(name: str, selector: str, oracle: str) -> None:
     """Register the number of elements that a selector selects on each page that has one."""
 
     def run(spark, sf_dir):
-        return nodes.select(dom(spark, sf_dir), selector).groupBy(F.col("doc_id").alias("page_id")).agg(F.count(F.lit(1)).alias("n"))
+        return extract.counts(pages(spark, sf_dir), {"n": selector}).where("n > 0")
 
     run.__name__ = name
     query(f"SELECT page_id, n FROM ({oracle}) WHERE n > 0")(run)
@@ -126,10 +122,8 @@ selected("sel_not_complex", "li:not(nav ul > li:first-child)", f"SELECT page_id,
 
 @query(f"SELECT page_id, i::INT AS pos, {_TEXT.format('t')} AS text, lead({_TEXT.format('t')}) OVER (PARTITION BY page_id ORDER BY i) AS next FROM ({_LINKS})")
 def next_link(spark, sf_dir):
-    d = dom(spark, sf_dir)
-    found = nodes.with_text(nodes.select(d, "nav li"), d)
-    w = nodes.Window.partitionBy("doc_id").orderBy("nid")
-    return found.select(F.col("doc_id").alias("page_id"), (F.row_number().over(w) - 1).cast("int").alias("pos"), "text", F.lead("text").over(w).alias("next"))
+    found = nodes.select(pages(spark, sf_dir), "nav li")
+    return found.select("page_id", "pos", "text", F.lead("text").over(Window.partitionBy("page_id").orderBy("pos")).alias("next"))
 
 
 @query(f"SELECT page_id, list({_TEXT.format('t')} ORDER BY i) AS items FROM ({_LINKS}) GROUP BY page_id")
@@ -139,15 +133,14 @@ def lists(spark, sf_dir):
 
 @query(f"SELECT page_id, count(*) AS n, min({_TEXT.format('t')}) AS first_text FROM ({_LINKS}) WHERE i < 2 GROUP BY page_id")
 def find_first_two(spark, sf_dir):
-    d = dom(spark, sf_dir)
-    found = nodes.with_text(nodes.find_all(d, "a", {"href": True}, limit=2), d)
-    return found.groupBy(F.col("doc_id").alias("page_id")).agg(F.count(F.lit(1)).alias("n"), F.min("text").alias("first_text"))
+    found = nodes.find_all(pages(spark, sf_dir), "a", {"href": True}, limit=2)
+    return found.groupBy("page_id").agg(F.count(F.lit(1)).alias("n"), F.min("text").alias("first_text"))
 
 
 @query("""SELECT page_id, len(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(html, '<nav>.*?</nav>|<script>.*?</script>|<style>.*?</style>|<footer>.*|<title>.*?</title>', '', 'gs'), '<[^>]*>', '', 'g'), '&amp;?', '&', 'g'), '&copy;', '©'), '&middot;', '·'), '&quot;', '"'))::BIGINT AS n FROM pages""")
 def boilerplate_removed(spark, sf_dir):
-    left = nodes.without(dom(spark, sf_dir), "nav, script, style, footer, title")
-    return left.groupBy(F.col("doc_id").alias("page_id")).agg(F.sum(F.when(F.col("kind") == "text", F.length("data")).otherwise(0)).alias("n"))
+    left = nodes.without(pages(spark, sf_dir), "nav, script, style, footer, title")
+    return left.select("page_id", F.length("text").cast("bigint").alias("n"))
 
 
 _CLASS = r"[\x{9}-\x{d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -170,13 +163,8 @@ _ORDER_HTML = (
 )
 
 
-@query("SELECT o_custkey AS custkey, o_orderkey::VARCHAR AS key, o_orderstatus AS status, o_orderpriority AS priority FROM orders WHERE o_orderkey % 10 = 0")
-def table_roundtrip(spark, sf_dir):
-    return _order_tables(table(spark, sf_dir, "orders").where("o_orderkey % 10 = 0"))
-
-
 @query("SELECT o_custkey AS custkey, o_orderkey::VARCHAR AS key, o_orderstatus AS status, o_orderpriority AS priority FROM orders")
-def table_roundtrip_whole(spark, sf_dir):
+def table_roundtrip(spark, sf_dir):
     return _order_tables(table(spark, sf_dir, "orders"))
 
 
@@ -229,13 +217,8 @@ def meta_roundtrip(spark, sf_dir):
     return found.select(F.col("n_nationkey").alias("nationkey"), "title", F.col("meta")["description"].alias("description"), "canonical")
 
 
-@query("SELECT event_id, json_extract_string(props, '$.k') AS k FROM events WHERE event_id % 5 = 0 AND props IS NOT NULL")
-def embedded_json(spark, sf_dir):
-    return _event_json(table(spark, sf_dir, "events").where("event_id % 5 = 0"))
-
-
 @query("SELECT event_id, json_extract_string(props, '$.k') AS k FROM events WHERE props IS NOT NULL")
-def embedded_json_whole(spark, sf_dir):
+def embedded_json(spark, sf_dir):
     return _event_json(table(spark, sf_dir, "events"))
 
 
@@ -294,6 +277,228 @@ def js_shell(spark, sf_dir):
     return extract.js_shell(pages(spark, sf_dir)).select("page_id", "is_shell")
 
 
+
+#: A page for each part, whose numbers of elements follow from the part's size; and the same in SQL.
+_P, _L = "p_size % 3", "p_size % 4"
+_PART_SQL = (
+    "'<section id=\"s' || p_partkey || '\" lang=\"en-' || p_size || '\" data-w=\"' || p_type || ' x\"><h2 class=\"t b\">' || p_name || '</h2>' || repeat('<p class=\"x.y t\">q</p>', (p_size % 3)::INT)"
+    " || '<i></i><ul>' || repeat('<li>a</li>', (p_size % 4)::INT) || '</ul></section><aside>z</aside>'"
+)
+
+
+def part_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    start = F.concat(F.lit("<SECTION id='s"), "p_partkey", F.lit("' lang=en-"), "p_size", F.lit(" data-w='"), "p_type", F.lit(" x'><h2 class='t b'>"), "p_name", F.lit("</h2>"))
+    middle = F.concat(F.expr(f"repeat(\"<p class='x.y t'>q\", {_P})"), F.lit("</p><i></i><ul>"), F.expr(f"repeat('<li>a', {_L})"), F.lit("</ul></section><aside>z"))
+    plain = F.concat(F.lit("<i></i><ul>"), F.expr(f"repeat('<li>a', {_L})"), F.lit("</ul></section><aside>z"))
+    return table(spark, sf_dir, "part").select("p_partkey", F.concat(start, F.when(F.expr(f"{_P} > 0"), middle).otherwise(plain)).alias("html"))
+
+
+def on_parts(name: str, oracle: str, make: Callable[[DataFrame], DataFrame]) -> None:
+    """Register a query over the parts' pages; ``partkey`` names the page."""
+
+    def run(spark, sf_dir):
+        return make(part_pages(spark, sf_dir)).withColumnRenamed("p_partkey", "partkey")
+
+    run.__name__ = name
+    query(oracle)(run)
+
+
+def counted(name: str, selector: str, n: str) -> None:
+    on_parts(name, f"SELECT p_partkey AS partkey, ({n})::BIGINT AS n FROM part", lambda p: extract.counts(p, {"n": selector}, id_col="p_partkey"))
+
+
+counted("sel_id", "#s7", "(p_partkey = 7)::INT")
+counted("sel_class", "p.t, h2.b.t", f"{_P} + 1")
+counted("sel_attr_equal", '[lang="en-7"]', "(p_size = 7)::INT")
+counted("sel_attr_word", "[data-w~=ECONOMY]", "list_contains(string_split(p_type, ' '), 'ECONOMY')::INT")
+counted("sel_attr_dash", "[lang|=en]", "1")
+counted("sel_attr_end", '[data-w$="MY x"]', "ends_with(p_type, 'MY')::INT")
+counted("sel_attr_case", '[data-w^="eco" i], [data-w^="small" s]', "(p_type ILIKE 'eco%' OR p_type LIKE 'small%')::INT")
+counted("sel_only_child", "li:only-child", f"({_L} = 1)::INT")
+counted("sel_nth_last_child", "li:nth-last-child(2)", f"({_L} >= 2)::INT")
+counted("sel_nth_of_type", "p:nth-of-type(2)", f"({_P} >= 2)::INT")
+counted("sel_first_of_type", "p:first-of-type", f"({_P} >= 1)::INT")
+counted("sel_last_of_type", "p:last-of-type", f"({_P} >= 1)::INT")
+counted("sel_only_of_type", "p:only-of-type", f"({_P} = 1)::INT")
+counted("sel_empty", "i:empty, ul:empty", f"1 + ({_L} = 0)::INT")
+counted("sel_root", ":root", "2")
+counted("sel_escape", r".x\.y", _P)
+counted("sel_namespace", "*|li, x|p", _L)
+counted("sel_where", "section :where(p, li):not(:first-child)", f"{_P} + greatest({_L} - 1, 0)")
+counted("sel_has_chain", "section:has(> ul > li + li) > h2", f"({_L} >= 2)::INT")
+
+_ROWS = "SELECT p_partkey AS partkey, {0} FROM part, range({1}) t(i)"
+on_parts("sel_matches", f"SELECT p_partkey AS partkey, ({_P} + {_L})::BIGINT AS n, ({_L})::BIGINT AS inside FROM part WHERE {_P} + {_L} > 0",
+         lambda p: nodes.matches(p, "p, li", "ul li", id_col="p_partkey").groupBy("p_partkey").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("matches").cast("bigint")).alias("inside")))
+on_parts("nav_parents", f"SELECT p_partkey AS partkey, unnest([1, 2]) AS step, unnest(['ul', 'section']) AS tag FROM part WHERE {_L} > 0",
+         lambda p: nodes.navigate(p, "li:first-child", "parents", id_col="p_partkey").select("p_partkey", "step", "tag"))
+on_parts("nav_children", f"SELECT p_partkey AS partkey, (3 + {_P})::BIGINT AS n FROM part",
+         lambda p: nodes.navigate(p, "section", "children", id_col="p_partkey").groupBy("p_partkey").agg(F.count(F.lit(1)).alias("n")))
+on_parts("nav_descendants", f"SELECT p_partkey AS partkey, (4 + 2 * ({_P}) + 2 * ({_L}))::BIGINT AS n FROM part",
+         lambda p: nodes.navigate(p, "section", "descendants", every_kind=True, id_col="p_partkey").groupBy("p_partkey").agg(F.count(F.lit(1)).alias("n")))
+on_parts("nav_next_siblings", _ROWS.format("i::INT + 1 AS step, 'q' AS text", _P),
+         lambda p: nodes.navigate(p, "h2", "next_siblings", tag="p", id_col="p_partkey").select("p_partkey", "step", "text"))
+on_parts("nav_previous_siblings", "SELECT p_partkey AS partkey, p_name AS text FROM part",
+         lambda p: nodes.navigate(p, "ul", "previous_siblings", tag="h2", id_col="p_partkey").select("p_partkey", "text"))
+on_parts("nav_find_next", f"SELECT p_partkey AS partkey, CASE WHEN {_P} > 0 THEN 'p' ELSE 'i' END AS tag FROM part",
+         lambda p: nodes.navigate(p, "h2", "next_elements", limit=1, id_col="p_partkey").select("p_partkey", "tag"))
+on_parts("nav_find_all_next", f"SELECT p_partkey AS partkey, (3 + {_P} + {_L})::BIGINT AS n FROM part",
+         lambda p: nodes.navigate(p, "h2", "next_elements", id_col="p_partkey").groupBy("p_partkey").agg(F.count(F.lit(1)).alias("n")))
+on_parts("nav_find_previous", f"SELECT p_partkey AS partkey, CASE WHEN {_L} > 0 THEN 'li' ELSE 'ul' END AS tag FROM part",
+         lambda p: nodes.navigate(p, "aside", "previous_elements", limit=1, id_col="p_partkey").select("p_partkey", "tag"))
+on_parts("nav_next_node", "SELECT p_partkey AS partkey, 'text' AS kind, p_name AS text FROM part",
+         lambda p: nodes.navigate(p, "h2", "next_elements", limit=1, every_kind=True, id_col="p_partkey").select("p_partkey", "kind", "text"))
+on_parts("nav_previous_node", "SELECT p_partkey AS partkey, 'section' AS tag FROM part",
+         lambda p: nodes.navigate(p, "h2", "previous_elements", limit=1, every_kind=True, id_col="p_partkey").select("p_partkey", "tag"))
+on_parts("find_regex", f"SELECT p_partkey AS partkey, (1 + {_P} + {_L})::BIGINT AS n FROM part",
+         lambda p: nodes.find_all(p, re.compile("^(p|li|as)"), id_col="p_partkey").groupBy("p_partkey").agg(F.count(F.lit(1)).alias("n")))
+on_parts("find_callable", "SELECT p_partkey AS partkey, 's' || p_partkey AS id FROM part",
+         lambda p: nodes.find_all(p, lambda tag: tag.startswith("sec"), {"id": True}, id_col="p_partkey").select("p_partkey", F.col("attrs")["id"].alias("id")))
+on_parts("find_class_list", f"SELECT p_partkey AS partkey, (1 + {_P})::BIGINT AS n FROM part",
+         lambda p: nodes.find_all(p, attrs={"class_": ["b", "x.y"]}, id_col="p_partkey").groupBy("p_partkey").agg(F.count(F.lit(1)).alias("n")))
+on_parts("find_attr_absent", "SELECT p_partkey AS partkey, 'aside' AS tag FROM part",
+         lambda p: nodes.find_all(p, attrs={"id": None}, recursive=False, id_col="p_partkey").select("p_partkey", "tag"))
+on_parts("find_string", _ROWS.format("i::INT AS pos", _P), lambda p: nodes.find_all(p, "p", string=re.compile("^q$"), id_col="p_partkey").select("p_partkey", "pos"))
+on_parts("edit_attributes", f"SELECT p_partkey AS partkey, replace(replace(replace({_PART_SQL}, '<h2 class=\"t b\">', '<h1 class=\"t b\" title=\"v\">'), '</h2>', '</h1>'), ' lang=\"en-' || p_size || '\"', '') AS html FROM part",
+         lambda p: nodes.edit(p, [("rename", "h2", "h1"), ("set", "h1", "title", "v"), ("unset", "section", "lang")], id_col="p_partkey").select("p_partkey", "html"))
+on_parts("edit_insert", f"SELECT p_partkey AS partkey, replace(replace(replace(replace({_PART_SQL}, '<ul>', '<nav><ul>'), '</ul>', '</ul></nav>'), '</section>', '<b>end</b></section>'), '<aside>z</aside>', '<hr><aside>new</aside>') AS html FROM part",
+         lambda p: nodes.edit(p, [("wrap", "ul", "<nav>"), ("append", "section", "<b>end"), ("before", "aside", "<hr>"), ("text", "aside", "new")], id_col="p_partkey").select("p_partkey", "html"))
+on_parts("edit_remove", f"SELECT p_partkey AS partkey, replace(replace(replace(replace(replace({_PART_SQL}, '<i></i>', ''), '<ul>', ''), '</ul>', ''), '<aside>z</aside>', '<em>x</em>'), '<h2 class=\"t b\">' || p_name, '<h2 class=\"t b\">') AS html FROM part",
+         lambda p: nodes.edit(p, [("unwrap", "ul"), ("remove", "i"), ("replace", "aside", "<em>x"), ("clear", "h2")], id_col="p_partkey").select("p_partkey", "html"))
+on_parts("compact_html", f"SELECT p_partkey AS partkey, {_PART_SQL} AS compact FROM part", lambda p: extract.serialized(p, id_col="p_partkey", url_col=None).select("p_partkey", "compact"))
+on_parts("prettify_lines", f"SELECT p_partkey AS partkey, '<section data-w=\"' || p_type || ' x\" id=\"s' || p_partkey || '\" lang=\"en-' || p_size || '\">\n <h2 class=\"t b\">\n  ' || p_name || '\n </h2>\n' || repeat(' <p class=\"x.y t\">\n  q\n </p>\n', ({_P})::INT) || ' <i>\n </i>\n <ul>\n' || repeat('  <li>\n   a\n  </li>\n', ({_L})::INT) || ' </ul>\n</section>\n<aside>\n z\n</aside>\n' AS pretty FROM part",
+         lambda p: extract.prettified(p, id_col="p_partkey", url_col=None))
+on_parts("strings_of", f"SELECT p_partkey AS partkey, p_name || repeat('|q', ({_P})::INT) || repeat('|a', ({_L})::INT) AS joined FROM part",
+         lambda p: nodes.strings(p, "section", id_col="p_partkey").groupBy("p_partkey").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "string"))), lambda x: x["string"]), "|").alias("joined")))
+on_parts("values_of", _ROWS.format("i::INT AS pos, 'x.y t' AS text", _P), lambda p: extract.values(p, selector="p", attr="class", id_col="p_partkey", url_col=None))
+on_parts("nested_clean", "SELECT p_partkey AS partkey, '  ' || p_name || ' ' AS y FROM part",
+         lambda p: extract.extract(p.withColumn("html", F.concat(F.lit("<div><p>  "), F.regexp_extract("html", "b'>([^<]*)<", 1), F.lit(" </p></div>"))),
+                                   {"x": {"css": "div", "clean": "raw", "fields": {"y": "p"}}}, id_col="p_partkey", url_col=None).select("p_partkey", "x.y"))
+
+
+@query("SELECT page_id, trim(regexp_replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&(copy|middot|quot|amp?);?', '', 'g')) AS title, html LIKE '%<head>%' AS has_head, html LIKE '%<body>%' AS has_body FROM pages")
+def head_and_body(spark, sf_dir):
+    found = extract.head_and_body(pages(spark, sf_dir))
+    return found.select("page_id", F.trim(F.regexp_replace("title", '[©·"&]|&am$', "")).alias("title"), F.col("head").isNotNull().alias("has_head"), F.col("body").isNotNull().alias("has_body"))
+
+
+@query("SELECT page_id FROM pages WHERE regexp_matches(lower(regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1)), '(^|\\.)example\\.com$') AND lower(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1)) LIKE '%.html'")
+def filtered_urls(spark, sf_dir):
+    return pages(spark, sf_dir).where(urls.filter_urls(F.col("url"), same_host="https://example.com/", ext=["html"])).select("page_id")
+
+
+@query("SELECT s_suppkey AS suppkey, unnest([0, 1, 2]) AS pos, unnest(['https://x.org/data/' || s_suppkey, 'https://x.org/base/' || s_suppkey, 'https://x.org/api/' || s_suppkey]) AS url FROM supplier")
+def script_apis(spark, sf_dir):
+    k = F.col("s_suppkey").cast("string")
+    script = F.concat(F.lit("<script>var x = {\"n\": \"no\"}; fetch('/data/"), k, F.lit("'); const base_url = \"/base/"), k, F.lit('"; load(`/api/'), k, F.lit("`); img('/a.png')</script>"))
+    made = table(spark, sf_dir, "supplier").select("s_suppkey", script.alias("html"), F.lit("https://x.org/p").alias("url"))
+    return extract.api_candidates(made, id_col="s_suppkey").withColumnRenamed("s_suppkey", "suppkey")
+
+
+@query("SELECT s_suppkey AS suppkey, unnest(['assign:cfg.all', '__NEXT_DATA__']) AS source, unnest([s_name, 'n' || s_suppkey]) AS name FROM supplier")
+def assigned_json(spark, sf_dir):
+    script = F.concat(F.lit("<script>window.cfg.all = {'a': 1}; cfg.all = {\"name\": \""), "s_name", F.lit('", "more": [1, 2, 3, "a longer text here"],}; </script><script id=__NEXT_DATA__ type=application/json>{"name": "n'), "s_suppkey", F.lit('"}</script>'))
+    made = table(spark, sf_dir, "supplier").select("s_suppkey", script.alias("html"))
+    found = extract.embedded_json(made, id_col="s_suppkey", url_col=None)
+    return found.select(F.col("s_suppkey").alias("suppkey"), "source", F.get_json_object("json", "$.name").alias("name"))
+
+
+@query("SELECT user_id, event_type, day, count(*) AS n FROM (SELECT *, ts::DATE AS day FROM events) GROUP BY CUBE (user_id, event_type, day) HAVING grouping(user_id) = 1")
+def event_cube(spark, sf_dir):
+    cube = table(spark, sf_dir, "events").withColumn("day", F.to_date("ts")).cube("user_id", "event_type", "day").agg(F.count(F.lit(1)).alias("n"), F.grouping("user_id").alias("g"))
+    return cube.where("g = 1").select("user_id", "event_type", "day", "n")
+
+
+@query("SELECT r_name AS region, n_name AS nation, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ROLLUP (r_name, n_name)")
+def customer_rollup(spark, sf_dir):
+    names = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    found = table(spark, sf_dir, "customer").join(names, F.col("c_nationkey") == F.col("n_nationkey"))
+    return found.rollup(F.col("r_name").alias("region"), F.col("n_name").alias("nation")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT url, n FROM (SELECT regexp_replace(url, '[?#].*$', '') AS url, count(*) AS n FROM pages GROUP BY 1) ORDER BY n DESC, url LIMIT 10")
+def top_urls(spark, sf_dir):
+    plain = F.regexp_replace("url", "[?#].*$", "").alias("url")
+    return pages(spark, sf_dir).groupBy(plain).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "url").limit(10)
+
+
+@query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def event_windows(spark, sf_dir):
+    return event_counts(table(spark, sf_dir, "events"))
+
+
+@query("SELECT user_id AS request_id, max(CASE WHEN event_type = 'view' THEN value END) AS t_request, max(CASE WHEN event_type = 'click' THEN value END) AS t_response, max(CASE WHEN event_type = 'purchase' THEN value END) AS t_finished, coalesce(bool_or(event_type = 'error'), false) AS failed FROM events GROUP BY user_id")
+def event_entries(spark, sf_dir):
+    kinds = F.create_map(*[F.lit(x) for x in ("view", "request", "click", "response", "purchase", "finished", "error", "failed")])
+    none = F.lit(None).cast("string")
+    made = table(spark, sf_dir, "events").select(F.col("user_id").alias("request_id"), kinds[F.col("event_type")].alias("kind"), F.col("value").alias("t"), *[none.alias(c) for c in ("url", "method", "status", "mime", "size")])
+    return netlog.entries(made).select("request_id", "t_request", "t_response", "t_finished", "failed")
+
+
+@query("SELECT url, CASE WHEN url ILIKE '%.png' THEN 'media' WHEN props IS NOT NULL THEN 'json' ELSE 'other' END AS entry_group FROM (SELECT props, CASE WHEN event_id % 2 = 0 THEN 'https://h.org/a.png' ELSE 'https://h.org/x' END || '' AS url, event_id FROM events WHERE props IS NULL OR event_id % 2 = 1)")
+def entry_groups(spark, sf_dir):
+    made = table(spark, sf_dir, "events").withColumn("url", F.when(F.col("event_id") % 2 == 0, "https://h.org/a.png").otherwise("https://h.org/x")).where("props IS NULL OR event_id % 2 = 1")
+    made = made.select("url", F.lit(None).cast("string").alias("mime"), F.col("props").alias("body"), F.lit("document").alias("resource_type"))
+    return made.select("url", netlog.group_of().alias("entry_group"))
+
+
+@query("SELECT 'key,name,none' AS line UNION ALL SELECT s_suppkey || ',' || s_name || ',' FROM supplier")
+def csv_with_header(spark, sf_dir):
+    rows = table(spark, sf_dir, "supplier").select(F.col("s_name").alias("name"), F.col("s_suppkey").alias("key"))
+    return formats.to_csv(rows, fieldnames=("key", "name", "none"), header=True)
+
+
+@query("SELECT s_suppkey || chr(9) || s_name AS line FROM supplier")
+def tsv_lines(spark, sf_dir):
+    return formats.to_tsv(table(spark, sf_dir, "supplier").select("s_suppkey", "s_name"))
+
+
+@query("SELECT '{' || chr(10) || '  \"n_nationkey\" : ' || n_nationkey || ',' || chr(10) || '  \"n_name\" : \"' || n_name || '\"' || chr(10) || '}' AS json FROM nation")
+def json_pretty(spark, sf_dir):
+    return formats.pretty(table(spark, sf_dir, "nation").select("n_nationkey", "n_name"))
+
+
+@query("SELECT n_nationkey AS nationkey, CASE WHEN n_nationkey > 5 THEN n_name END AS a, n_regionkey::VARCHAR AS b FROM nation")
+def records_of_maps(spark, sf_dir):
+    pairs = F.when(F.col("n_nationkey") > 5, F.create_map(F.lit("b"), F.col("n_regionkey").cast("string"), F.lit("a"), F.col("n_name"))).otherwise(F.create_map(F.lit("b"), F.col("n_regionkey").cast("string")))
+    return formats.to_records(table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("nationkey"), pairs.alias("m")), "m")
+
+
+@query("SELECT concat_ws(chr(9), '#HttpOnly_h' || s_suppkey || '.org', 'TRUE', '/', 'FALSE', '0', 'n', s_name) AS value FROM supplier")
+def cookie_file_lines(spark, sf_dir):
+    made = table(spark, sf_dir, "supplier").select(
+        F.concat(F.lit("h"), "s_suppkey", F.lit(".org")).alias("domain"), F.lit(True).alias("subdomains"), F.lit("/").alias("path"), F.lit(False).alias("secure"),
+        F.lit(None).cast("bigint").alias("expires"), F.lit("n").alias("name"), F.col("s_name").alias("value"), F.lit(True).alias("http_only"),
+    )
+    return formats.cookie_lines(made)
+
+
+@query("SELECT s_suppkey AS suppkey, 'deep=' || s_suppkey || '; wide=w' AS cookie FROM supplier")
+def cookie_headers(spark, sf_dir):
+    s = table(spark, sf_dir, "supplier")
+    host = F.concat(F.lit("h"), "s_suppkey", F.lit(".org"))
+    cookie = lambda domain, sub, path, secure, name, value: F.struct(domain.alias("domain"), F.lit(sub).alias("subdomains"), F.lit(path).alias("path"), F.lit(secure).alias("secure"), F.lit(None).cast("bigint").alias("expires"), F.lit(name).alias("name"), value.alias("value"))
+    given = [cookie(host, True, "/", False, "wide", F.lit("w")), cookie(host, True, "/a/", False, "deep", F.col("s_suppkey").cast("string")), cookie(host, False, "/", False, "other", F.lit("o")), cookie(host, True, "/", True, "safe", F.lit("s"))]
+    asked = s.select("s_suppkey", F.concat(F.lit("http://www."), host, F.lit("/a/b?c")).alias("url"))
+    return requests.cookies_for(asked, s.select(F.explode(F.array(*given)).alias("c")).select("c.*")).select(F.col("s_suppkey").alias("suppkey"), "cookie")
+
+
+@query("SELECT page_id, CASE WHEN contains(url, '#') THEN regexp_replace(url, '#.*$', '') ELSE url END || CASE WHEN contains(url, '?') THEN '&' ELSE '?' END || 'a=1&a=2' || regexp_extract(url, '#.*$', 0) AS url, 'https://x.org/q%C3%A9/' || page_id AS quoted, 'https://x.org/r/' || page_id AS resolved, least(30, 0.5 * pow(2, page_id % 10)) AS delay, page_id % 600 BETWEEN 200 AND 399 AS ok, left(url, 20) || CASE WHEN length(url) > 20 THEN '…' ELSE '' END AS preview FROM pages")
+def request_parts(spark, sf_dir):
+    k = F.col("page_id").cast("string")
+    p = pages(spark, sf_dir)
+    return p.select(
+        "page_id", requests.merge_params(F.col("url"), {"a": [1, 2]}).alias("url"), requests.requote(F.concat(F.lit("https://x.org/qé/"), k)).alias("quoted"),
+        requests.resolve_url(F.concat(F.lit("/r/"), k), "https://x.org/p").alias("resolved"), requests.retry_delay((F.col("page_id") % 10).cast("int"), draw=F.lit(1.0)).alias("delay"),
+        requests.ok(F.col("page_id") % 600).alias("ok"), requests.preview(F.col("url"), p.schema["url"].dataType, 20).alias("preview"),
+    )
+
+
+@query("SELECT doc_id, regexp_replace(coalesce(text, ''), '[\\x{200b}-\\x{200f}\\x{feff}\\x{ad}\\x{2060}\\x{180e}]+', '', 'g') AS text FROM documents")
+def noise_stripped(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", text.strip_noise(F.coalesce("text", F.lit(""))).alias("text"))
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

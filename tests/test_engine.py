@@ -1,3 +1,5 @@
+import csv
+import time
 import gzip
 import os
 
@@ -5,7 +7,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from pagewright.errors import ExtractError
+from pagewright.errors import ExtractError, SelectorError
 from pagewright.functions import text, urls
 from pagewright.operators import extract, formats, nodes
 from pagewright.plans import catalog
@@ -33,24 +35,71 @@ def test_against_sql(spark, name):
     assert rows(got, columns) == want
 
 
-@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
-def test_whole_roundtrips_leave_no_row_out(spark):
-    read = lambda name: spark.read.parquet(f"{DATA}/{name}.parquet")
-    run = lambda name: catalog.queries()[name](spark, DATA)
-    assert run("table_roundtrip_whole").count() == read("orders").count()
-    assert run("embedded_json_whole").count() == read("events").where("props is not null").count()
+def test_pages_of_repeated_and_null_ids(spark):
+    """Pages that share an id, or have none, are never mixed up."""
+    rows = [(1, "<div></div><b><p>x</p></b>"), (1, "<p>y</p><div></div>"), (None, "<div><p>z</p></div>"), (2, None), (3, "")]
+    pages = spark.createDataFrame(rows, "page_id long, html string")
+    found = lambda s: [(r.page_id, r.text) for r in nodes.select(pages, s).collect()]
+    assert found("div > p") == [(None, "z")] and found("div p, b p") == [(1, "x"), (None, "z")]
+    assert nodes.select(pages.limit(0), "p").count() == 0
+    plan = nodes.without(pages, "nav, p")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Exchange" not in plan
+    with pytest.raises(SelectorError):
+        nodes.select(pages, "a >")
+    with pytest.raises(SelectorError):
+        nodes.edit(pages, [("rename", "p")])
+
+
+def test_navigation_and_edits(spark):
+    html = "<div><p class=a>1<p>2</div><!-- c --><ul><li>x<li><b>y</b></ul>t"
+    pages = spark.createDataFrame([(1, html)], "page_id long, html string")
+    step = lambda s, axis, **o: [(r.step, r.tag or r.kind) for r in nodes.navigate(pages, s, axis, **o).collect()]
+    assert step("b", "parents") == [(1, "li"), (2, "ul")] and step("ul", "previous_siblings", every_kind=True) == [(1, "comment"), (2, "div")]
+    assert step("p.a", "next_elements", limit=2) == [(1, "p"), (2, "ul")] and step("b", "previous_elements", tag=["p", "ul"]) == [(1, "ul"), (2, "p"), (3, "p")]
+    assert step("ul", "next_siblings", every_kind=True) == [(1, "text")] and step("ul", "children") == [(1, "li"), (2, "li")]
+    edit = lambda *steps: nodes.edit(pages, list(steps)).first().html
+    assert edit(("remove", "div"), ("unwrap", "li")) == "<!-- c --><ul>x<b>y</b></ul>t"
+    assert edit(("replace", "ul", "<i>1</i><i>2</i>"), ("wrap", "i", "<u>"), ("after", "p.a", "<hr>")) == '<div><p class="a">1</p><hr><p>2</p></div><!-- c --><u><i>1</i></u><u><i>2</i></u>t'
+    assert edit(("remove", "div, p"), ("clear", "ul"), ("prepend", "ul", "<li>n"), ("text", "li", "a<b")) == "<!-- c --><ul><li>a&lt;b</li></ul>t"
+    assert [r.string for r in nodes.strings(pages, kinds=("comment",)).collect()] == [" c "]
+
+
+def test_cost_is_linear_in_depth_and_width():
+    """Work on deep and wide pages, within the time that a pass over them takes."""
+    from pagewright.functions.htmltree import parse, serialize
+    from pagewright.functions.selectors import Matcher
+
+    def took(work):
+        start = time.time()
+        work()
+        return time.time() - start
+
+    deep = parse("<div>" * 3000 + "x")
+    assert took(lambda: parse("<div>" * 3000)) < 0.4 and took(lambda: serialize(deep)) < 0.1
+    assert took(lambda: Matcher(deep).select("div div div")) < 0.25 and len(Matcher(deep).select("div div div")) == 2998
+    assert took(lambda: Matcher(parse("<b>" + "<div>" * 2000)).select("b div div div")) < 0.5
+    assert took(lambda: Matcher(parse("<div>" * 400 + "<b>")).select("div:has(div div b)")) < 0.5
+    wide = parse("<ul>" + "<li>x" * 3000)
+    assert took(lambda: Matcher(wide).select("li:nth-child(2n+1)")) < 0.5
 
 
-def test_plans_and_trees_agree(spark):
-    """Selectors as plans over nodes select what the matcher selects on trees."""
+def test_blobs_that_start_alike_all_stay():
     from pagewright.functions.htmltree import parse
-    from pagewright.functions.selectors import Matcher
+    from pagewright.functions.jsonmine import embedded_json
+
+    same = '"k": "' + "x" * 600 + '"'
+    html = "".join(f"<script type=application/json>{{{same}, \"n\": {i}}}</script>" for i in range(3))
+    assert len(embedded_json(parse(html))) == 3
+
 
-    html = "<div><p class=a>1<p>2</div><div><ul><li><p>3</p></li><li></li></ul></div><p>4"
-    table = nodes.nodes(spark.createDataFrame([(1, html), (2, "<p>"), (3, "")], "page_id long, html string"))
-    for selector in ("div p", "div > p", "p + p", "li ~ li", "div:has(> ul) p", "div:has(ul) + p", "p:not(div p)", ":is(div li, p.a)", "li:empty", ":root", "p, li"):
-        got = {(r.doc_id, r.nid) for r in nodes.select(table, selector).collect()}
-        assert got == {(d, n) for d, h in ((1, html), (2, "<p>"), (3, "")) for n in Matcher(parse(h)).select(selector)}, selector
+def test_written_csv_and_cookies(spark, tmp_path):
+    rows = [('a"b,c', 1), ("x\ny", 2)]
+    formats.write_csv(spark.createDataFrame(rows, "t string, n int").coalesce(1), str(tmp_path / "c"))
+    with open(next((tmp_path / "c").glob("part-*")), newline="") as file:
+        assert list(csv.reader(file)) == [["t", "n"], ['a"b,c', "1"], ["x\ny", "2"]]
+    (tmp_path / "k.txt").write_text('# comment\n#HttpOnly_.h.org\tTRUE\t/\tFALSE\t0\ts\t"q\nh.org\tFALSE\t/a\tTRUE\t99\tn\t\nnonsense\n')
+    got = [tuple(r) for r in formats.read_cookies(spark, str(tmp_path / "k.txt")).collect()]
+    assert got == [(".h.org", True, "/", False, None, "s", '"q', True), ("h.org", False, "/a", True, 99, "n", "", False)]
 
 
 def test_edges(spark):

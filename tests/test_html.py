@@ -72,4 +72,4 @@ def test_json_and_srcset():
     assert balanced('x{"a":"}"}y', 1) == '{"a":"}"}'
     assert loads("{'a':1}") is None and loads('{"a":[1,],}') == {"a": [1]}
     assert parse_srcset("/a.png 1x, /b.png 2x") == ["/a.png", "/b.png"]
-    assert parse_srcset("img?w=1,2 2x, /c.png") == ["img?w=1,2", "/c.png"] and parse_srcset("") == []
+    assert parse_srcset("/crop/10,20,30/x.jpg 640w, /c.png") == ["/crop/10,20,30/x.jpg", "/c.png"] and parse_srcset("") == []
