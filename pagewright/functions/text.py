@@ -39,19 +39,28 @@ def _decode(s: pd.Series) -> pd.Series:
     return s.map(decode_entities_text, na_action="ignore")
 
 
+def where_needed(c: Column, needs: Column, work: Callable[[Column], Column]) -> Column:
+    """``work(c)`` where it is needed, else ``c``. Python gets nulls for the other rows: Spark hands all rows to it."""
+    return F.when(needs, work(F.when(needs, c))).otherwise(c)
+
+
 def decode_entities(c: Column) -> Column:
-    """Null stays null; texts without an ampersand never reach Python's loop."""
-    return F.when(c.contains("&"), _decode(c)).otherwise(c)
+    """Null stays null; texts without an ampersand never reach Python."""
+    return where_needed(c, c.contains("&"), _decode)
 
 
 def normalize_unicode(c: Column, form: str = "NFC") -> Column:
-    """A Unicode normal form; ASCII texts are left to the other branch."""
+    """A Unicode normal form; texts that are in it by their characters never reach Python."""
 
     @F.pandas_udf(T.StringType())
     def normal(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: unicodedata.normalize(form, t), na_action="ignore")
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        return pc.utf8_normalize(pa.array(s, pa.string(), from_pandas=True), form).to_pandas()
 
-    return F.when(c.rlike(r"[^\x00-\x7f]"), normal(c)).otherwise(c)
+    # Below U+0300 nothing combines.
+    return where_needed(c, c.rlike(r"[^\x{0}-\x{2ff}]" if form == "NFC" else r"[^\x{0}-\x{7f}]"), normal)
 
 
 def remove_invisible(c: Column) -> Column:
