@@ -15,7 +15,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bounded_batches(spark: SparkSession, most: int = 8 << 20) -> None:
+def bounded_batches(spark: SparkSession, most: int = 2 << 20) -> None:
     """Bound Arrow batches by bytes, so that very long texts don't fill a Python worker.
 
     The session's setting is only ever made smaller: plans are made now and run later.

@@ -294,10 +294,14 @@ def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: s
     """``docs`` with one row of each component of similar documents, its first; of equal rows, one stays."""
     found = similar_documents(docs, id_col, text_col, words, similarity).where("first")
     key, kept, own = fresh(docs, "id", "kept", "hash")
-    kept_rows = found.select(F.col(id_col).alias(key), F.col("text_hash").alias(kept)).distinct()
+    rows = cut(found.groupBy(F.col(id_col).alias(key), F.col("text_hash").alias(kept)).agg(F.count(F.lit(1)).alias("n")))
     hashed = docs.withColumn(own, hash_of(F.col(text_col)))
     same = F.col(id_col).eqNullSafe(F.col(key)) & F.col(own).eqNullSafe(F.col(kept))
-    return hashed.join(kept_rows, same, "left_semi").dropDuplicates([id_col, own]).drop(own)
+    out = hashed.join(rows.where("n = 1"), same, "left_semi")
+    repeated = rows.where("n > 1")
+    if not repeated.isEmpty():  # only these texts are shuffled again
+        out = out.union(hashed.join(repeated, same, "left_semi").dropDuplicates([id_col, own]))
+    return out.drop(own)
 
 
 def hexadecimal(fingerprint: Column) -> Column:
