@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
+#: Rows that a value of join keys has at most when it isn't hot, and the most hot values.
+HOT_ROWS, HOT_KEYS = 512, 4096
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The table ``name`` below ``sf_dir``, read by Spark's own reader."""
@@ -56,6 +59,23 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
+def join_hot(left: DataFrame, right: DataFrame, keys: list[str], size: str) -> DataFrame:
+    """Inner join of ``left`` with ``right``, a written table with one row for each value of ``keys``.
+
+    Its column ``size`` holds the number of rows of ``left`` with that value, and is left
+    out of the result. Values of over ``HOT_ROWS`` rows, and of over a ``HOT_KEYS``-th of
+    all, are broadcast: there are fewer than ``HOT_KEYS`` of them, as the sizes add up to
+    all rows. So the rows of a hot value stay where they are; only the others are shuffled.
+    """
+    rows, most = right.agg(F.sum(size), F.max(size)).first()
+    limit = max(HOT_ROWS, (rows or 0) // HOT_KEYS)
+    if (most or 0) <= limit:
+        return left.join(right.drop(size), keys)
+    hot, others = right.where(F.col(size) > limit).drop(size), right.where(F.col(size) <= limit).drop(size)
+    rest = left.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(others, keys)
+    return left.join(F.broadcast(hot), keys).unionByName(rest)
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Column names like ``names`` that ``df`` doesn't have, in any case of the letters."""
     taken, out = {c.lower() for c in df.columns}, []

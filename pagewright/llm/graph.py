@@ -1,7 +1,7 @@
 """Connected components of a link table, by alternating star contractions.
 
 Every round is two aggregations and two joins over the links that are left, so
-neither a component nor the whole graph has to fit into one task or the driver.
+neither a component, a hub nor the whole graph has to fit into one task or the driver.
 Ids may be of any orderable type.
 """
 
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, join_hot
 
 
 def components(links: DataFrame, left: str, right: str) -> DataFrame:
@@ -27,13 +27,12 @@ def components(links: DataFrame, left: str, right: str) -> DataFrame:
     before = None
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.first("u"), F.min("v")).alias("m"))
-        large = (
-            both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        )
-        parent = large.groupBy("u").agg(F.min("v").alias("m"))
+        later = both.where("v > u")
+        least = both.groupBy("u").agg(F.least(F.first("u"), F.min("v")).alias("m"), F.count_if(F.col("v") > F.col("u")).alias("n"))
+        large = cut(join_hot(later, cut(least), ["u"], "n").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
+        parent = cut(large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")))
         edges = cut(
-            large.join(parent, "u")
+            join_hot(large, parent, ["u"], "n")
             .select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
             .where("u <> v")
             .distinct()

@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, fresh
+from .common import cut, fresh, join_hot
 from .graph import components
 
 #: Edits, least length of lines that are compared for them, lines of a segment that meet in pairs, and parts of a split.
@@ -255,18 +255,17 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     distinct = cut(counted.select(*LINE, "n", "pick", F.when(F.col("s0").isNotNull(), F.array(*slots)).alias("slots")))
     links, classes = linked_lines(docs, distinct, id_col, text_col, threshold)
     pair = lambda a, b: F.struct(F.col(a).alias("h1"), F.col(b).alias("h2"))
-    heads = classes.groupBy("k1", "k2").agg(F.min(pair("h1", "h2")).alias("v"))
-    through = classes.join(heads, ["k1", "k2"]).select(pair("h1", "h2").alias("u"), "v")
+    heads = cut(classes.groupBy("k1", "k2").agg(F.min(pair("h1", "h2")).alias("v"), F.count(F.lit(1)).alias("n")))
+    through = join_hot(classes, heads, ["k1", "k2"], "n").select(pair("h1", "h2").alias("u"), "v")
     reach = components(links.select(pair("h1", "h2").alias("u"), pair("g1", "g2").alias("v")).union(through), "u", "v")
     ends = links.select(*LINE, F.lit(1).alias("k")).union(links.select("g1", "g2", F.lit(1))).union(classes.select(*LINE, "others"))
     degree = ends.groupBy(*LINE).agg(F.sum("k").alias("n_links"))
     root = reach.select(F.col("node.h1").alias("h1"), F.col("node.h2").alias("h2"), "component")
     member = distinct.join(degree, list(LINE), "left").join(root, list(LINE), "left").where((F.col("n") > 1) | F.col("n_links").isNotNull())
-    member = cut(member.select(*LINE, F.coalesce("component", pair("h1", "h2")).alias("root"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links")))
-    found = cut(places.select("id", "row", "line", *LINE).join(member, list(LINE)))
-    # Written, so that both sides of the join come from a shuffle and a hot class can be split.
-    firsts = cut(found.groupBy("root").agg(F.min(F.struct("id", "row", "line")).alias("first")))
-    return found.join(firsts, "root").select(
+    member = cut(member.select(*LINE, "n", F.coalesce("component", pair("h1", "h2")).alias("root"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links")))
+    found = cut(join_hot(places.select("id", "row", "line", *LINE), member, list(LINE), "n"))
+    firsts = cut(found.groupBy("root").agg(F.min(F.struct("id", "row", "line")).alias("first"), F.count(F.lit(1)).alias("n")))
+    return join_hot(found, firsts, ["root"], "n").select(
         F.col("id").alias(id_col), "row", "line", F.col("first.id").alias("class_id"), F.col("first.row").alias("class_row"), F.col("first.line").alias("class_line"), "n_links"
     )
 

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .chaining import Hasher
-from .common import by_column, cut, fresh
+from .common import by_column, cut, fresh, join_hot
 from .graph import components
 from .vector_dedup import roots
 
@@ -109,16 +109,16 @@ def close_pairs(distinct: DataFrame, radius: int = 2, segments: int = 2) -> Data
 def components_of(found: DataFrame, links) -> DataFrame:
     """Add (component_id, first) to rows (id, text_hash, fingerprint) by the components of ``links(distinct)``."""
     row = F.struct(F.col("id").isNull().alias("null"), "id", "text_hash")
-    distinct = cut(found.groupBy("fingerprint").agg(F.min(row).alias("least")))
+    distinct = cut(found.groupBy("fingerprint").agg(F.min(row).alias("least"), F.count(F.lit(1)).alias("n")))
     reach = components(links(distinct), "a", "b")
     classes = distinct.join(reach, distinct["fingerprint"] == reach["node"], "left").select(
-        "fingerprint", "least", F.coalesce("component", "fingerprint").alias("root")
+        "fingerprint", "least", "n", F.coalesce("component", "fingerprint").alias("root")
     )
-    # Both are written, so that the joins with them are between shuffles, where a hot key can be split.
-    named = cut(classes.groupBy("root").agg(F.min("least").alias("named")))
-    of = cut(classes.join(named, "root").select("fingerprint", "named"))
+    classes = cut(classes)
+    named = cut(classes.groupBy("root").agg(F.min("least").alias("named"), F.count(F.lit(1)).alias("members")))
+    of = cut(join_hot(classes, named, ["root"], "members").select("fingerprint", "named", "n"))
     first = F.col("id").eqNullSafe(F.col("named.id")) & (F.col("text_hash").eqNullSafe(F.col("named.text_hash")))
-    return found.join(of, "fingerprint").withColumns({"component_id": F.col("named.id"), "first": first}).drop("named")
+    return join_hot(found, of, ["fingerprint"], "n").withColumns({"component_id": F.col("named.id"), "first": first}).drop("named")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, radius: int = 2) -> DataFrame:

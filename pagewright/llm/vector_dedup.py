@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, join_hot
 from .graph import components
 from .vectors import matrix, usable
 
@@ -202,18 +202,19 @@ def link_vectors(table: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     again = reach.select("component").distinct().select(F.col("component").alias("node"), "component")
     members = classes.join(reach.union(again).toDF("digest", "root"), "digest").select("digest", "vector", "size", "root")
     linked = all_links(cut(members), threshold)
-    named = (
+    named = cut(
         classes.select("digest", "least", "size")
         .join(linked, "digest", "left")
         .join(reach.withColumnRenamed("node", "digest"), "digest", "left")
-        .select("digest", "least", (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"), F.coalesce("component", "digest").alias("root"))
+        .select("digest", "least", "size", (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"), F.coalesce("component", "digest").alias("root"))
     )
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = named.join(least, "root").select("digest", "n_links", "component_id")
-    joined = rows.select("id", "digest").join(of, "digest", "left")
-    return joined.select(
+    least = cut(named.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("members")))
+    of = cut(join_hot(named, least, ["root"], "members").select("digest", "n_links", "component_id", "size"))
+    joined = join_hot(fit.select("id", "digest"), of, ["digest"], "size").select("id", "n_links", "component_id")
+    unfit = rows.where("digest is null").select("id", F.lit(0).alias("n_links"), F.col("id").alias("component_id"))
+    return joined.unionByName(unfit).select(
         F.col("id").alias(id_col),
-        F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"),
+        F.col("n_links").cast("bigint").alias("n_links"),
         F.coalesce("component_id", "id").alias("component_id"),
         F.coalesce(F.col("component_id") == F.col("id"), F.lit(True)).alias("kept"),
     )

@@ -12,7 +12,7 @@ import tiktoken
 import xxhash
 from pyspark.sql import functions as F
 
-from pagewright.llm import ann, bpe, bpe_codec, chaining, graph, langid, line_dedup, packing, secrets, sharding, simhash, vector_dedup
+from pagewright.llm import ann, bpe, bpe_codec, chaining, common, graph, langid, line_dedup, packing, secrets, sharding, simhash, vector_dedup
 
 TEXT = "doc_id long, text string, lang string, source string, n_chars long, shard int, key string, component string"
 
@@ -361,6 +361,34 @@ def test_components(spark):
     assert graph.components(spark.createDataFrame([], "a long, b long"), "a", "b").count() == 0
 
 
+def test_joins_with_hot_keys(spark, monkeypatch):
+    left = spark.createDataFrame([(k, i) for k, n in ((1, 30), (2, 9), (3, 2), (4, 1)) for i in range(n)], "k long, i long")
+    right = spark.createDataFrame([(1, 30, "a"), (2, 9, "b"), (3, 2, "c"), (5, 0, "d")], "k long, n long, v string")
+    want = sorted(map(tuple, left.join(right.drop("n"), "k").collect()))
+    for most in (1, 5, 100):
+        monkeypatch.setattr(common, "HOT_ROWS", most)
+        got = common.join_hot(left, right, ["k"], "n")
+        assert got.columns == ["k", "i", "v"]
+        assert sorted(map(tuple, got.collect())) == want
+    assert common.join_hot(left, right.limit(0), ["k"], "n").count() == 0
+
+
+def test_operators_give_the_same_whatever_is_hot(spark, docs, monkeypatch):
+    rows = docs.union(documents(spark, [(200 + i, "the same line of a text\nand one more line of it") for i in range(20)] + [(300, "the same line of a texts")]))
+    links = spark.createDataFrame([(0, i) for i in range(1, 40)] + [(90, i) for i in range(60, 90)] + [(i, i + 1) for i in range(200, 230)], "a long, b long")
+    rng = np.random.default_rng(4)
+    x = np.concatenate([np.ones((30, 8)), np.ones((30, 8)) + rng.normal(size=(30, 8)) * 0.05, rng.normal(size=(20, 8))])
+    vectors = spark.createDataFrame([*((i, v.tolist()) for i, v in enumerate(x)), (500, None), (501, None)], "vec_id long, embedding array<double>")
+
+    def run():
+        made = (graph.components(links, "a", "b"), simhash.near_duplicates(rows), line_dedup.duplicate_lines(rows), vector_dedup.link_vectors(vectors))
+        return [sorted(map(repr, df.collect())) for df in made]
+
+    plain = run()
+    monkeypatch.setattr(common, "HOT_ROWS", 2)
+    assert run() == plain
+
+
 def test_vector_dedup(spark):
     rng = np.random.default_rng(9)
     x = rng.normal(size=(300, 16))
