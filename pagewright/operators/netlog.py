@@ -30,14 +30,17 @@ def entries(events: DataFrame, key: str = "request_id") -> DataFrame:
     )
 
 
-def group_of(config: Config = DEFAULT):
-    """json, media, xhr_fetch or other, of rows with url, mime, body and resource_type."""
+def groups_of(config: Config = DEFAULT):
+    """Those of json, media and xhr_fetch that a row with url, mime, body and resource_type is in; it may be in several.
+
+    A row without a body counts as json.
+    """
     path = F.lower(F.regexp_extract("url", r"^[^?#]*", 0))
-    media = reduce(lambda a, b: a | b, [path.endswith(e) for e in sorted(config.media_exts)])
+    media = reduce(lambda a, b: a | b, [path.endswith(e) for e in sorted(config.media_exts | {".ts"})])
     body = F.substring(F.ltrim(F.coalesce("body", F.lit(""))), 1, 1)
-    return (
-        F.when(F.coalesce(F.lower("mime"), F.lit("")).contains("json") | body.isin("{", "["), "json")
-        .when(media | F.coalesce(F.lower("mime").rlike("^(image|video|audio)/"), F.lit(False)), "media")
-        .when(F.lower("resource_type").isin("xhr", "fetch"), "xhr_fetch")
-        .otherwise("other")
-    )
+    of = {
+        "json": F.lower("mime").contains("json") | body.isin("{", "[", ""),
+        "media": media,
+        "xhr_fetch": F.lower("resource_type").isin("xhr", "fetch"),
+    }
+    return F.array_compact(F.array(*[F.when(fits, F.lit(name)) for name, fits in of.items()]))

@@ -435,11 +435,14 @@ def event_entries(spark, sf_dir):
     return netlog.entries(made).select("request_id", "t_request", "t_response", "t_finished", "failed")
 
 
-@query("SELECT url, CASE WHEN url ILIKE '%.png' THEN 'media' WHEN props IS NOT NULL THEN 'json' ELSE 'other' END AS entry_group FROM (SELECT props, CASE WHEN event_id % 2 = 0 THEN 'https://h.org/a.png' ELSE 'https://h.org/x' END || '' AS url, event_id FROM events WHERE props IS NULL OR event_id % 2 = 1)")
+@query("SELECT event_id, concat_ws(',', CASE WHEN event_type IN ('view', 'click') THEN 'json' END, CASE WHEN event_id % 2 = 0 THEN 'media' END, CASE WHEN event_type = 'purchase' THEN 'xhr_fetch' END) AS entry_groups FROM events")
 def entry_groups(spark, sf_dir):
-    made = table(spark, sf_dir, "events").withColumn("url", F.when(F.col("event_id") % 2 == 0, "https://h.org/a.png").otherwise("https://h.org/x")).where("props IS NULL OR event_id % 2 = 1")
-    made = made.select("url", F.lit(None).cast("string").alias("mime"), F.col("props").alias("body"), F.lit("document").alias("resource_type"))
-    return made.select("url", netlog.group_of().alias("entry_group"))
+    made = table(spark, sf_dir, "events").select(
+        "event_id", F.when(F.col("event_id") % 2 == 0, "https://h.org/a.PNG?x").otherwise("https://h.org/x").alias("url"), F.lit(None).cast("string").alias("mime"),
+        F.when(F.col("event_type") == "view", F.col("props")).when(F.col("event_type") == "click", " ").otherwise("text").alias("body"),
+        F.when(F.col("event_type") == "purchase", "XHR").otherwise("document").alias("resource_type"),
+    )
+    return made.select("event_id", F.array_join(netlog.groups_of(), ",").alias("entry_groups"))
 
 
 @query("SELECT 'key,name,none' AS line UNION ALL SELECT s_suppkey || ',' || s_name || ',' FROM supplier")
