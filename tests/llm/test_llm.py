@@ -552,6 +552,46 @@ def test_passages_whose_seeds_have_different_first_holders(spark):
     assert found == {(i + 9, i + 5, at) for i in range(0, 400, 10) for at in (70, 200)} and len(out) == len(found)
 
 
+@pytest.mark.parametrize("hot_seed", [1, 16])
+def test_passages_with_any_earlier_document(spark, hot_seed):
+    """Overlapping parts of p have nearer holders at both ends of the order, singly and frequently; one document between has p as a whole."""
+    rng = random.Random(19)
+    filler = lambda n: words(rng, n, "qrstuv").split()
+    rows, expected = [], set()
+    for i in range(0, 1000, 100):
+        p = words(rng, 105, "abcdefghijklmnop").split()
+        part = lambda k, p=p: filler(20) + p[20 * k : 20 * k + 45] + filler(20)
+        rows += [(i + k, part(k % 4)) for k in range(30)] + [(i + 30, filler(12) + p + filler(9))]
+        rows += [(i + 31 + k, part(k % 4)) for k in range(30)] + [(i + 70, filler(25) + p + filler(14))]
+        expected.add((i + 70, i + 30, 25, 130))
+    out = chaining.passages(documents(spark, [(i, " ".join(t)) for i, t in rows]), hot_seed=hot_seed).collect()
+    assert {(r.doc_id, r.source_doc_id, r.start_word, r.end_word) for r in out} == expected and len(out) == len(expected)
+
+
+def test_hot_seeds_lose_no_passage(spark):
+    rng = random.Random(20)
+    pool = [words(rng, 60, "abcdefghijklmnop").split() for _ in range(4)]
+    rows = []
+    for i in range(60):
+        t = []
+        for p in rng.sample(pool, rng.randint(1, 3)):
+            t += words(rng, rng.randint(0, 30), "qrstuv").split() + [w if rng.random() > 0.03 else f"x{i}" for w in p]
+        rows.append((i, " ".join(t)))
+    every, few = (chaining.passages(documents(spark, rows), hot_seed=n).collect() for n in (1 << 30, 4))
+    beyond = 2 * chaining.K  # words past the last shared seed
+    within = lambda r, q: q.doc_id == r.doc_id and q.source_doc_id <= r.source_doc_id and q.start_word - beyond < r.start_word and r.end_word < q.end_word + beyond
+    assert len(every) > 50 and all(any(within(r, q) for q in few) for r in every)
+
+
+def test_bytes_never_make_a_reach_shorter():
+    rng = np.random.default_rng(21)
+    for _ in range(300):
+        x = rng.integers(0, 40, 46)
+        y = np.where(rng.random(46) < 0.8, x, rng.integers(0, 40, 46))
+        exact, fewer = chaining.reach(x, y)[0], chaining.reach_bound((x % 30)[None], (y % 30)[None])[0]
+        assert fewer >= exact
+
+
 def test_chain_is_the_best():
     rng = random.Random(12)
     for _ in range(30):
