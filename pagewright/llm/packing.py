@@ -60,10 +60,10 @@ def tokenizer(path: str):
 
 
 class Packer:
-    """Packs one stream of documents; ``number`` gives each sequence its id."""
+    """Packs one stream of documents."""
 
-    def __init__(self, tiers: tuple[int, ...], base: int) -> None:
-        self.tiers, self.next, self.group = tiers, base, base
+    def __init__(self, tiers: tuple[int, ...]) -> None:
+        self.tiers = tiers
         self.waiting: list[list[tuple]] = [[] for _ in tiers]  # by tier: (length, document, start)
         self.tokens = 0
 
@@ -128,16 +128,18 @@ def step_groups(windows: list[tuple[int, list[tuple]]], step: int) -> list[int]:
     return out
 
 
-def pack(docs: DataFrame, id_col: str, text_col: str, path: str, end_id: int = 1, tiers: tuple[int, ...] = TIERS) -> DataFrame:
+def pack(docs: DataFrame, id_col: str, text_col: str, path: str, end_id: int = 1, tiers: tuple[int, ...] = TIERS, by: str | None = None) -> DataFrame:
     """Return a row per piece: its place in the document and in its sequence.
 
     A null text counts as empty: the document is its end token alone. Rows that repeat an
     id, and nulls in the id, are documents of their own. An empty table gives no pieces.
     Columns: id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and the
-    sequence's tokens, its tier (the padded length) and its step group.
+    sequence's tokens, its tier (the padded length) and its step group. With ``by``, a string
+    column, a sequence and a step group have documents of one value of it (null is one, too),
+    and it is the last column.
     """
     bounded_batches(docs.sparkSession)
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), (F.col(by) if by else F.lit(None)).cast("string").alias("by"))
     kind = texts.schema["id"].dataType.simpleString()
 
     def run(batches):
@@ -147,44 +149,51 @@ def pack(docs: DataFrame, id_col: str, text_col: str, path: str, end_id: int = 1
 
         names = to_arrow_schema(schema)
         encode = tokenizer(path)
-        packer = Packer(tiers, TaskContext.get().partitionId() << 32)
+        number = group_number = TaskContext.get().partitionId() << 32
+        packers: dict[str | None, Packer] = {}
+        ready: dict[str | None, list[tuple[int, list[tuple]]]] = {}
         held: dict[int, tuple] = {}  # documents with pieces to come: id, ids, tokens that are left
-        ready: list[tuple[int, list[tuple]]] = []
         count = 0
 
-        def emit() -> pa.RecordBatch:
+        def emit(value: str | None) -> pa.RecordBatch:
+            nonlocal number, group_number
             rows = []
-            groups = step_groups(ready, STEP)
-            for (size, pieces), group in zip(ready, groups, strict=True):
+            groups = step_groups(ready[value], STEP)
+            for (size, pieces), group in zip(ready[value], groups, strict=True):
                 offset, total = 0, sum(p[2] for p in pieces)
                 tier = size if size == total else tiers[-1]
                 for doc, start, n in pieces:
                     name, ids, left = held[doc]
                     crc = zlib.crc32(ids[start : start + n].tobytes())
-                    rows.append((name, start, n, crc, len(ids), packer.next, offset, total, tier, packer.group + group))
+                    rows.append((name, start, n, crc, len(ids), number, offset, total, tier, group_number + group, value)[: len(names)])
                     offset += n
                     if left == n:
                         del held[doc]
                     else:
                         held[doc] = (name, ids, left - n)
-                packer.next += 1
-            packer.group += max(groups, default=-1) + 1
-            ready.clear()
+                number += 1
+            group_number += max(groups, default=-1) + 1
+            ready[value].clear()
             columns = list(zip(*rows, strict=True)) or [()] * len(names)
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, names, strict=True)], schema=names)
 
         for batch in batches:
-            for name, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            for name, text, value in zip(*(batch.column(c).to_pylist() for c in ("id", "text", "by")), strict=True):
+                if value not in packers:
+                    packers[value], ready[value] = Packer(tiers), []
+                packer = packers[value]
                 ids = np.append(encode(text or ""), np.uint32(end_id)).astype("<u4")
                 held[count] = (name, ids, len(ids))
-                ready.extend(packer.add(count, len(ids)))
+                ready[value].extend(packer.add(count, len(ids)))
                 count += 1
                 if packer.tokens >= POOL:
-                    ready.extend(packer.windows())
-                if len(ready) >= 4 * POOL // tiers[-1]:
-                    yield emit()
-        ready.extend(packer.windows(flush=True))
-        yield emit()
-
-    schema = StructType.fromDDL(PIECES.format(id="id", kind=kind))
-    return texts.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+                    ready[value].extend(packer.windows())
+                if len(ready[value]) >= 4 * POOL // tiers[-1]:
+                    yield emit(value)
+        for value, packer in packers.items():
+            ready[value].extend(packer.windows(flush=True))
+            yield emit(value)
+
+    schema = StructType.fromDDL(PIECES.format(id="id", kind=kind) + ", `by` string" * bool(by))
+    packed = texts.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return packed.withColumnRenamed("by", by) if by else packed

@@ -619,3 +619,23 @@ def test_pipeline(spark, tmp_path):
     assert {r.doc_id for r in kept.collect()} == {r[0] for r in rows} - {50, 51} and kept.columns == docs.columns
     final = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r.doc_id for r in final} >= set(range(1, 40)) | {0} and {50, 51}.isdisjoint({r.doc_id for r in final})
+
+
+def test_pipeline_packs_each_language_by_itself(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(22)
+    alphabets = {"xx": "abcdefgh", "yy": "stuvwxyz"}
+    truth = {i: "xx" if i % 2 else "yy" for i in range(120)}
+    rows = [(i, words(rng, 60, alphabets[lang]), lang if i < 80 else None, "s", 1) for i, lang in truth.items()]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    final = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {r.doc_id: r.lang for r in final} == truth
+    by_sequence = {}
+    for r in final:
+        by_sequence.setdefault(r.sequence_id, []).append(r)
+    for pieces in by_sequence.values():
+        assert len({r.lang for r in pieces}) == 1
+        ends = sorted((r.offset, r.length) for r in pieces)
+        assert [o for o, _ in ends] == [sum(n for _, n in ends[:k]) for k in range(len(ends))] and sum(n for _, n in ends) <= 2048
+    assert all(sum(r.length for r in final if r.doc_id == i) == next(r.doc_tokens for r in final if r.doc_id == i) for i in truth)
