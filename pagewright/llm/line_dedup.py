@@ -30,6 +30,8 @@ from .graph import components
 
 #: Edits, least length of lines that are compared for them, lines of a segment that meet in pairs, and parts of a split.
 THRESHOLD, MIN_CHARS, HOT, FAN = 1, 20, 16, 8
+#: Bits of a filter for each entry, in buckets of BUCKET bits, and its most buckets (64 MB in all): then more rows pass, and none is lost.
+FILTER_BITS, BUCKET, MOST_BUCKETS = 8, 1 << 15, 1 << 14
 #: A line's name.
 LINE = ("h1", "h2")
 
@@ -202,6 +204,21 @@ def refined(hot: DataFrame, bodies: DataFrame) -> tuple[list[DataFrame], DataFra
             return pairs, classes
 
 
+def maybe_in(rows: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` without most of those whose ``keys`` aren't in ``wanted``, and without a shuffle of them.
+
+    Keys are hashed to the bits of a broadcast bitmap; what passes by chance is left to a join.
+    """
+    buckets = min(MOST_BUCKETS, wanted.count() * FILTER_BITS // BUCKET + 1)
+    bit = F.pmod(F.xxhash64(F.lit("filter"), *keys), F.lit(buckets * BUCKET))
+    bucket, place = fresh(rows, "bucket", "place")
+    maps = wanted.select(F.shiftright(bit, 15).alias(bucket), bit.bitwiseAND(F.lit(BUCKET - 1)).alias("at")).groupBy(bucket).agg(F.bitmap_construct_agg("at").alias(place))
+    at = bit.bitwiseAND(F.lit(BUCKET - 1)).cast("int")
+    byte = F.conv(F.hex(F.call_function("substring", F.col(place), F.shiftright(at, 3) + 1, F.lit(1))), 16, 10).cast("int")
+    one = F.call_function("shiftright", byte, at.bitwiseAND(F.lit(7))).bitwiseAND(F.lit(1))
+    return rows.withColumn(bucket, F.shiftright(bit, 15)).join(F.broadcast(cut(maps)), bucket).where(one == 1).select(*rows.columns)
+
+
 def linked_lines(docs: DataFrame, distinct: DataFrame, id_col: str, text_col: str, threshold: int) -> tuple[DataFrame, DataFrame]:
     """Links between lines of ``distinct`` (h1, h2, pick, slots): pairs (h1, h2, g1, g2), each once, and classes (k1, k2, others, h1, h2).
 
@@ -211,9 +228,9 @@ def linked_lines(docs: DataFrame, distinct: DataFrame, id_col: str, text_col: st
     counts = slots.groupBy("key").agg(F.sum(F.col("own").cast("int")).alias("owners"), F.count(F.lit(1)).alias("all"))
     met = cut(slots.join(counts.where("owners >= 1 and all >= 2").select("key", "all"), "key"))
     few = F.col("all") <= HOT if threshold == 1 else F.lit(True)
-    needed = met.groupBy(*LINE).agg(F.min("pick").alias("pick"))
+    needed = cut(met.groupBy(*LINE).agg(F.min("pick").alias("pick")))
     every = lines_of(docs, id_col, text_col).withColumn("pick", F.xxhash64("id", "row", "line")).select(*LINE, "pick", "body")
-    bodies = cut(every.join(needed, [*LINE, "pick"]).dropDuplicates(list(LINE)).select(*LINE, "body"))
+    bodies = cut(maybe_in(every, needed, [*LINE, "pick"]).join(needed, [*LINE, "pick"]).dropDuplicates(list(LINE)).select(*LINE, "body"))
     pairs, classes = [met_pairs(met.where(few), ["key"])], None
     hot = met.where(~few).select(*LINE, "own", "i").distinct()
     if threshold == 1 and not hot.isEmpty():

@@ -204,6 +204,17 @@ def test_lines_of_a_hot_group_of_near_copies(spark):
             assert not r or (r.class_id, r.class_line) == first[component[s]]
 
 
+@pytest.mark.parametrize("most", [line_dedup.MOST_BUCKETS, 1])
+def test_a_filter_loses_no_row(spark, monkeypatch, most):
+    monkeypatch.setattr(line_dedup, "MOST_BUCKETS", most)
+    rows = spark.range(100_000).selectExpr("id * 7 as h1", "-id as h2")
+    wanted = rows.where("h1 % 10 = 3")
+    left = line_dedup.maybe_in(rows, wanted, ["h1", "h2"])
+    assert left.columns == rows.columns and left.join(wanted, ["h1", "h2"], "left_semi").count() == wanted.count()
+    assert left.count() < (30_000 if most > 1 else 50_000)
+    assert line_dedup.maybe_in(rows, wanted.limit(0), ["h1", "h2"]).count() == 0
+
+
 def test_lines_of_repeated_and_null_ids(spark):
     a, b = "a line that stands in more than one document", "a line that is nowhere else in this table"
     rows = [(1, a), (7, "short\n" + a), (7, "short\n" + b), (None, a + "\nown"), (None, "own"), (9, None)]
