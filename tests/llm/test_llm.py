@@ -270,6 +270,21 @@ def test_bpe(spark, docs):
         assert bpe.merge(piece, ranks) == coder._encode_single_piece(piece)
 
 
+def test_splitter_is_the_pattern():
+    import public_tokenizers
+    import regex
+
+    split, whole = bpe_codec.splitter(public_tokenizers.PATTERN), regex.compile(public_tokenizers.PATTERN).findall
+    fast = bpe_codec.narrow(public_tokenizers.PATTERN).findall
+    rng = random.Random(23)
+    every = [chr(c) for c in range(1 << 16)]
+    assert fast("".join(every)) == whole("".join(every)) and all(fast(f" {c}a{c}1 ") == whole(f" {c}a{c}1 ") for c in every)
+    for kind in ("aZ09 '\n\t\x1c\x85-.sltrevmd", "aäßж中٣²½ \u2003\u00a0'\n_s", "a😀𝐀𝟗 \n'ß\U0001f1e9"):
+        for _ in range(500):
+            text = "".join(rng.choices(kind, k=40))
+            assert split(text) == whole(text)
+
+
 def test_nearest(spark):
     rng = np.random.default_rng(6)
     x = rng.normal(size=(800, 24)).astype(np.float32)
