@@ -1,8 +1,10 @@
 """Operators against brute force, on small fixtures with nulls, empty and long texts, ties, repeats and clashing columns."""
 
 import hashlib
+import os
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -609,6 +611,46 @@ def test_hot_seeds_lose_no_passage(spark):
     assert len(every) > 50 and all(any(within(r, q) for q in few) for r in every)
 
 
+def test_passages_free_their_shuffle_files(spark):
+    rng = random.Random(22)
+    passage = words(rng, 80, "abcdefghijklmnop")
+    rows = [(i, f"{words(rng, 9 + i, 'qrst')} {passage}") for i in range(40)]
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {f for top in disk.localDirs() for _, _, names in os.walk(top.getPath()) for f in names if f.startswith("shuffle_")}
+    before = files()
+    out = chaining.passages(documents(spark, rows))
+    for _ in range(50):  # they go in the background
+        if not (left := files() - before):
+            break
+        time.sleep(0.1)
+    assert not left and out.count() == 39
+
+
+def test_passages_of_copies(spark):
+    """Copies of a document have its passages and the whole text, unless a smaller source has that."""
+    rng = random.Random(23)
+    p, q, r = (words(rng, 90, "abcdefghijklmnop") for _ in range(3))
+    rows = [(1, p), (2, f"{p} {q}"), (3, r), (4, f"{r} end"), (5, "short text")]
+    rows += [(i, rows[k][1]) for i, k in zip(range(10, 40), [1, 2, 3, 4] * 9, strict=False)]
+    out = chaining.passages(documents(spark, [*rows, rows[7], rows[8]])).collect()
+    got = sorted((x.doc_id, x.start_word, x.end_word, x.source_doc_id, x.source_start, x.source_end, x.edits) for x in out)
+    expected = [(2, 0, 90, 1, 0, 90, 0), (4, 0, 90, 3, 0, 90, 0)]
+    for i, text in rows[5:]:
+        if text == rows[1][1]:
+            expected += [(i, 0, 90, 1, 0, 90, 0), (i, 0, 180, 2, 0, 180, 0)]
+        elif text in (r, f"{r} end"):
+            expected.append((i, 0, 90, 3, 0, 90, 0))
+    assert got == sorted(expected)
+
+
+def test_a_far_seed_loses_no_passage(spark):
+    rng = random.Random(24)
+    p, far = words(rng, 600, "abcdefghijklmnop"), words(rng, 40, "abcdefghijklmnop")
+    rows = [(i, f"{p} {words(rng, 900, 'qrstuv')} {far}") for i in (1, 2)]
+    out = chaining.passages(documents(spark, rows)).collect()
+    assert [(x.doc_id, x.start_word, x.end_word, x.source_doc_id, x.edits) for x in out] == [(2, 0, 600, 1, 0)]
+
+
 def test_bytes_never_make_a_reach_shorter():
     rng = np.random.default_rng(21)
     for _ in range(300):
