@@ -60,7 +60,8 @@ class Config:
     min_assign_chars: int = 40
     json_scan_cap: int = 2_000_000
     json_depth: int = 6
-    legacy_entities: bool = True
+    #: Names that are references without a semicolon, too: all those of the HTML standard, none, or these of them.
+    legacy_entities: bool | frozenset[str] = True
     charset_bytes: int = 8192
     shell_links: int = 3
     shell_scripts: int = 5

@@ -35,6 +35,19 @@ def test_against_sql(spark, name):
     assert rows(got, columns) == want
 
 
+@pytest.mark.parametrize("name", ["boilerplate_removed"])
+def test_cut_references_against_sql(spark, tmp_path, name):
+    """References cut at any character, as where a title ends."""
+    whole = ["&amp;", "&quot;", "&copy;", "&middot;"]
+    said = [f"a b {r[:n]}" for r in whole for n in range(1, len(r) + 1)] + [f"a {r} b &{r[:3]}" for r in whole] + ["a b", "&amplt a&amp&quot"]
+    page = "<html><head><title>{0}</title></head><body><nav><ul><li>x</li></ul></nav><h1>{0}</h1><p>Next</p><footer>z</footer></body></html>"
+    spark.createDataFrame([(i, page.format(t)) for i, t in enumerate(said)], "page_id long, html string").selectExpr("*", "'https://h.org/' as url").write.parquet(str(tmp_path / "pages.parquet"))
+    got = catalog.queries()[name](spark, str(tmp_path))
+    pages = f"(select * from '{tmp_path}/pages.parquet/*.parquet')"
+    want = duckdb.connect().execute(f"with pages as {pages} select {', '.join(sorted(got.columns))} from ({catalog.oracle_sql()[name]})").fetchall()
+    assert rows(got, sorted(got.columns)) == sorted(tuple(map(str, r)) for r in want)
+
+
 def test_pages_of_repeated_and_null_ids(spark):
     """Pages that share an id, or have none, are never mixed up."""
     rows = [(1, "<div></div><b><p>x</p></b>"), (1, "<p>y</p><div></div>"), (None, "<div><p>z</p></div>"), (2, None), (3, "")]

@@ -27,6 +27,7 @@ def test_tree_rules():
 
 def test_references():
     assert parse("&copy 2 &amp;nbsp; &#xD800; &am;").text() == "© 2 &nbsp; � &am;"
+    assert parse("&copy; &copy &amplt &quot", frozenset(("amp",))).text() == "© &copy &lt &quot" and parse("&amp &amp;", False).text() == "&amp &"
     assert parse("<a href='?x=1&copy=2&amp;y'>").get(1, "href") == "?x=1&copy=2&y"
     assert decode_entities_text("&copy=2 &lt;b&gt; &EURO; &nope;") == "&copy=2 <b> € &nope;"
 
