@@ -204,14 +204,14 @@ def prettified(tree, base, config):
     return [(prettify_lines(tree),)]
 
 
-@_op("head string, body string, title string")
+@_op("head string, body string, title string, title_source string")
 def head_and_body(tree, base, config):
-    """Compact HTML of the first head and body, null where there is none, and the stripped text of the first title."""
+    """Compact HTML of the first head and body, null where there is none; the stripped text of the first title, and that as the page has it, with its references."""
     match = Matcher(tree)
     first = lambda tag: next(iter(match.select(tag)), None)
     html = lambda n: None if n is None else serialize(tree, n)
     title = first("title")
-    return [(html(first("head")), html(first("body")), None if title is None else tree.text(title).strip())]
+    return [(html(first("head")), html(first("body")), None if title is None else tree.text(title).strip(), None if title is None else tree.source.get(title + 1, ""))]
 
 
 def counts(pages: DataFrame, selectors: Mapping[str, str], *, id_col: str = "page_id", html_col: str = "html", config: Config = DEFAULT) -> DataFrame:

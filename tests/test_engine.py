@@ -35,7 +35,7 @@ def test_against_sql(spark, name):
     assert rows(got, columns) == want
 
 
-@pytest.mark.parametrize("name", ["boilerplate_removed", "h1", "title"])
+@pytest.mark.parametrize("name", ["boilerplate_removed", "h1", "head_and_body", "title"])
 def test_cut_references_against_sql(spark, tmp_path, name):
     """References cut at any character, as where a title ends."""
     whole = ["&amp;", "&quot;", "&copy;", "&middot;"]
