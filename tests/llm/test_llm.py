@@ -626,6 +626,19 @@ def test_passages_free_their_shuffle_files(spark):
     assert not left and out.count() == 39
 
 
+def test_join_hot_frees_its_shuffle_files(spark):
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {f for top in disk.localDirs() for _, _, names in os.walk(top.getPath()) for f in names if f.startswith("shuffle_")}
+    left, right = spark.range(9), common.cut(spark.range(9).selectExpr("id", "1L as n"))
+    before = files()
+    out = common.join_hot(left, right, ["id"], "n")
+    for _ in range(50):  # they go in the background
+        if not (more := files() - before):
+            break
+        time.sleep(0.1)
+    assert not more and out.count() == 9
+
+
 def test_passages_of_copies(spark):
     """Copies of a document have its passages and the whole text, unless a smaller source has that."""
     rng = random.Random(23)
